@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framequarry.llm.common import read_table
+from framequarry.llm.common import bucket, read_table
+
+
+def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framequarry.llm import lzprint
+
+    return lzprint.edits(read_table(spark, sf_dir, "documents"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +22,23 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framequarry.llm import toxicity
+
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), bucket("doc_id", 4) != 2)
+    found = toxicity.score(docs, model, keep=["doc_id"])
+    return found.select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framequarry.llm import langid
+
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs, bucket("doc_id", 4) != 2), keep=["doc_id"])
+    return found.select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framequarry.llm import simhash
 
@@ -31,5 +54,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op7_simhash, op9_packing)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framequarry.llm import quality
+    from framequarry.session import materialise
+
+    stats = materialise(quality.with_statistics(read_table(spark, sf_dir, "documents"), ["doc_id"]), "statistics")
+    model = quality.fit(stats, read_table(spark, sf_dir, "labels"), bucket("doc_id", 3) != 1)
+    found = quality.score(stats, model, keep=["doc_id"])
+    return found.select("doc_id", (bucket("doc_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lz_fingerprint, op3_decontaminate, op4_toxicity, op5_language_id, op7_simhash, op9_packing, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
