@@ -14,6 +14,16 @@ def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.edits(read_table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framequarry.llm import pii
+    from framequarry.session import materialise
+
+    found = materialise(pii.candidates(read_table(spark, sf_dir, "documents"), ["doc_id"]), "candidates")
+    spans = pii.accepted(pii.fit(found))
+    counts = [pii.count(k).alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framequarry.llm import decontaminate
 
@@ -64,5 +74,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (bucket("doc_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lz_fingerprint, op3_decontaminate, op4_toxicity, op5_language_id, op7_simhash, op9_packing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_lz_fingerprint, op2_pii, op3_decontaminate, op4_toxicity, op5_language_id, op7_simhash, op9_packing, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
