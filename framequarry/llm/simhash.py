@@ -82,7 +82,7 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle: int
     linked = components(links(fps)).withColumnsRenamed({"node": "fp"}).join(fps, "fp")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     merged = linked.join(least, "component").select("fp", "least")
-    classes = fps.join(merged, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    classes = materialise(fps.join(merged, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "classes")
     return marked.join(classes, "fp", "left").select(*keep, "fp", "component_id")
 
 
