@@ -9,7 +9,7 @@ sum of its clauses' weights, squashed and calibrated by a logistic fit on labell
 The classes have a fixed base vocabulary; further insults are learned as word stems from labelled texts: the stems that
 cover the most labelled toxic texts that are not covered yet, with next to no clean text.
 
-Training takes at most ``TEXTS`` labelled texts of either kind, picked by a hash of doc_id. Defined cases: null and empty
+The classes are matched clause by clause. Training takes at most ``TEXTS`` labelled texts of either kind, picked by a hash of doc_id. Defined cases: null and empty
 texts have no clause and the score of no evidence; a doc_id with several labels is toxic if any says so; without both
 labels the base vocabulary is used with a fixed calibration.
 """
@@ -29,8 +29,10 @@ from framequarry.llm.common import hashed_sample, map_texts
 
 TEXTS = 2500
 THRESHOLD = 0.3
-#: Learned stems: their least and greatest length, the least number of texts each adds, the least share of toxic ones.
-STEM, LONGEST, ADDS, PURE = 4, 8, 4, 0.9
+#: Learned stems: their least and greatest length, the least number of texts each adds; the least share of toxic texts among
+#: those that hold a stem once, or twice and more, and what either kind of stem weighs.
+STEM, LONGEST, ADDS = 4, 8, 4
+ONCE, TWICE = (0.95, 1.0), (0.75, 0.4)
 LEXICON = 400
 
 # The base vocabulary of each class.
@@ -53,7 +55,7 @@ class Grammar:
         self.stems = dict(stems or {})
         self.words = {w: k for k, text in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS), (INSULT, INSULTS)) for w in text.split()}
         self.heads = {w[:STEM] for w, k in self.words.items() if k in (INSULT, THREAT)} | {s[:STEM] for s in self.stems}
-        self.lengths = sorted({len(s) for s in self.stems})
+        self.lengths = sorted({len(s) for s in self.stems}, reverse=True)
 
     def read(self, word: str) -> tuple[int, float]:
         """The class of a word, and its weight."""
@@ -111,33 +113,40 @@ class Grammar:
 
 
 def learn_stems(toxic: list[str], clean: list[str]) -> dict[str, float]:
-    """Word stems to weights, by greedy cover of the toxic texts."""
-
-    def stems(text: str) -> set[str]:
-        return {w[:n] for w in set(WORD.findall(text.lower())) if not w.isdigit() for n in range(STEM, min(LONGEST, len(w)) + 1)}
-
-    toxic = list(dict.fromkeys(toxic))
-    where: dict[str, set[int]] = defaultdict(set)
-    for i, text in enumerate(toxic):
-        for s in stems(text):
-            where[s].add(i)
-    where = {s: x for s, x in where.items() if len(x) >= ADDS}
-    bad: Counter[str] = Counter()
-    for text in dict.fromkeys(clean):
-        bad.update(s for s in stems(text) if s in where)
-    odds = len(toxic) / max(1, len(clean))
-    pure = {s: x for s, x in where.items() if len(x) / (len(x) + bad[s] * max(1.0, odds)) >= PURE}
+    """Word stems to weights, by greedy cover of the toxic texts.
+
+    First come stems of which one occurrence tells, then, for the texts these leave, stems of which only a second one does.
+    """
+
+    def stems(text: str, least: int) -> set[str]:
+        words = Counter(WORD.findall(text.lower()))
+        seen: Counter[str] = Counter()
+        for w, k in words.items():
+            if not w.isdigit():
+                seen.update({w[:n]: k for n in range(STEM, min(LONGEST, len(w)) + 1)})
+        return {s for s, k in seen.items() if k >= least}
+
+    toxic, clean = list(dict.fromkeys(toxic)), list(dict.fromkeys(clean))
+    base = Grammar()
+    left = {i for i, text in enumerate(toxic) if not base.evidence(text)}
     out: dict[str, float] = {}
-    left = set(range(len(toxic)))
-    while len(out) < LEXICON and pure:
-        # the stem that adds the most texts; of equals the purest, then the shortest
-        best = max(pure, key=lambda s: (len(pure[s] & left), -bad[s], len(pure[s]), -len(s), s))
-        mine = pure.pop(best)
-        if len(mine & left) < ADDS:
-            break
-        left -= mine
-        out[best] = float(np.clip(np.log((len(mine) + 0.5) / (bad[best] * odds + 0.5)) / 4, 0.25, 1.5))
-        pure = {s: x for s, x in pure.items() if len(x & left) >= ADDS}
+    for least, (share, weight) in ((1, ONCE), (2, TWICE)):
+        where: dict[str, set[int]] = defaultdict(set)
+        for i, text in enumerate(toxic):
+            for s in stems(text, least):
+                where[s].add(i)
+        where = {s: x for s, x in where.items() if len(x & left) >= ADDS}
+        bad: Counter[str] = Counter()
+        for text in clean:
+            bad.update(s for s in stems(text, least) if s in where)
+        pure = {s: x for s, x in where.items() if len(x) / (len(x) + bad[s] + 0.5) >= share}
+        while len(out) < LEXICON and pure:
+            # the stem that adds the most texts; of equals the purest, then the longest
+            best = max(pure, key=lambda s: (len(pure[s] & left), -bad[s], len(s), s))
+            mine = pure.pop(best)
+            left -= mine
+            out.setdefault(best, weight)
+            pure = {s: x for s, x in pure.items() if len(x & left) >= ADDS}
     return out
 
 

@@ -84,10 +84,10 @@ def test_odd_rows(spark, odd, empty):
 
 
 def test_equal_texts_get_equal_languages():
-    model = langid.LanguageModel([b"the cat and the dog", b"le chat et le chien", b"der hund und die katze"], ["en", "fr", "de"])
-    alone = model.decode([b"the dog"])
-    among = model.decode([b"x" * 50, b"the dog", b"", b"the dog"])
-    assert alone[0][0] == among[0][1] == among[0][3] == 0 and np.allclose(among[1][[1, 3]], alone[1])
+    model = langid.LanguageModel([b"the cat and the dog with the bird", b"le chat est avec un chien", b"der hund und die katze"] * 3, ["en", "fr", "de"] * 3)
+    alone = model.decode([b"the bird with the dog"])
+    among = model.decode([b"x" * 50, b"the bird with the dog", b"", b"the bird with the dog"])
+    assert model.langs[alone[0][0]] == model.langs[among[0][1]] == model.langs[among[0][3]] == "en" and np.allclose(among[1][[1, 3]], alone[1])
 
 
 def test_codewords_lie_apart():
