@@ -56,6 +56,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framequarry.llm import licenses
+
+    docs = read_table(spark, sf_dir, "documents")
+    found = licenses.scan(docs, licenses.fit(docs), keep=["doc_id"])
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["family"])))
+    spans = F.array_join(F.transform("licenses", lambda x: F.concat_ws(":", x["paragraph"].cast("string"), x["family"])), ",")
+    return found.select("doc_id", "n_paragraphs", F.size("licenses").cast("long").alias("n_licensed"), F.array_join(names, ",").alias("families"), spans.alias("paragraphs"), F.coalesce(F.array_max(F.transform("licenses", lambda x: x["probability"])), F.lit(0.0)).alias("score"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from framequarry.llm import packing
@@ -74,5 +84,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (bucket("doc_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lz_fingerprint, op2_pii, op3_decontaminate, op4_toxicity, op5_language_id, op7_simhash, op9_packing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_lz_fingerprint, op2_pii, op3_decontaminate, op4_toxicity, op5_language_id, op7_simhash, op8_licenses, op9_packing, op10_quality)}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
 ORACLE_SQL: dict[str, str] = {}
