@@ -49,6 +49,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framequarry.llm import suffixdedup
+
+    return suffixdedup.digests(read_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framequarry.llm import simhash
 
@@ -84,7 +90,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (bucket("doc_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lz_fingerprint, op2_pii, op3_decontaminate, op4_toxicity, op5_language_id, op7_simhash, op8_licenses, op9_packing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_lz_fingerprint, op2_pii, op3_decontaminate, op4_toxicity, op5_language_id, op6_suffix_dedup, op7_simhash, op8_licenses, op9_packing, op10_quality)}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
