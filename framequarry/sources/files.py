@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,10 +43,12 @@ def frames_in_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, tolerant: bool = False) -> DataFrame:
     """Objects of a JSON-lines file; blank lines and lines that aren't objects go; a bad line raises, or goes too if tolerant."""
-    objects = numbered_lines(spark, path).filter(F.col("value").rlike(r"^\s*\{"))
+    is_object = F.col("value").rlike(r"^\s*\{")
+    objects = numbered_lines(spark, path).filter(is_object)
     if tolerant:
         objects = objects.filter(F.try_parse_json("value").isNotNull())
-    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE" if tolerant else "FAILFAST"})
+    # guarded: filters that come later may be evaluated before the one above
+    parsed = F.from_json(F.when(is_object, F.col("value")), schema, {"mode": "PERMISSIVE" if tolerant else "FAILFAST"})
     return objects.select("line_no", parsed.alias("r")).select("line_no", "r.*")
 
 
@@ -92,12 +96,8 @@ def write_vectors(rows: DataFrame, path: str, kind: str | None = None, model: st
 
 def decode_floats(blob: Column | str, dim: Column | str) -> Column:
     """A little-endian float32 blob as array<float>; null where its size isn't that of ``dim`` numbers."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def decode(blobs: pd.Series, dims: pd.Series) -> pd.Series:
-        import numpy as np
-
         return pd.Series([np.frombuffer(b, "<f4") if b is not None and d == d and d is not None and len(b) == 4 * int(d) else None for b, d in zip(blobs, dims, strict=True)])
 
     return decode(blob, F.col(dim).cast("double") if isinstance(dim, str) else dim.cast("double"))
@@ -105,12 +105,8 @@ def decode_floats(blob: Column | str, dim: Column | str) -> Column:
 
 def encode_floats(vector: Column | str) -> Column:
     """array<float> as a little-endian float32 blob."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def encode(vectors: pd.Series) -> pd.Series:
-        import numpy as np
-
         return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
     return encode(vector)
