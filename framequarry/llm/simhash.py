@@ -28,6 +28,8 @@ from framequarry.session import materialise
 
 SHINGLE = 3
 SEED = 42
+#: Signatures (of 8 bytes) that are broadcast at most.
+BROADCAST_SIGNATURES = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -67,7 +69,10 @@ def links(fps: DataFrame) -> DataFrame:
     groups = variants.groupBy("signature").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
     groups = materialise(groups, "signatures")
     pairs = groups.filter("n = 2 and bit_count(a ^ b) <= 2").select("a", "b")
-    wide = variants.join(groups.filter("n > 2").select("signature"), "signature", "left_semi").select("fp").distinct()
+    hot = groups.filter("n > 2").select("signature")
+    if hot.count() <= BROADCAST_SIGNATURES:  # else both sides are shuffled
+        hot = F.broadcast(hot)
+    wide = variants.join(hot, "signature", "left_semi").select("fp").distinct()
     near = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     met = wide.select("fp", F.explode(near).alias("value")).groupBy("value").agg(F.collect_set("fp").alias("members")).filter("size(members) > 1")
     stars = met.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).filter("a <> b")
