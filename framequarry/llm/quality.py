@@ -26,7 +26,9 @@ from framequarry.llm.common import hashed_sample, map_texts, utf8
 POSITIVES = 6000
 UNLABELLED = 12_000
 THRESHOLD = 0.5
-BINS = 12
+#: Where the bins of each statistic are cut, as shares of the training texts; finer at the ends, where bad text lies.
+CUTS = (0.01, 0.03, *(i / 12 for i in range(1, 12)), 0.97, 0.99)
+BINS = len(CUTS) + 1
 _PUNCTUATION = [c for c in range(33, 127) if not chr(c).isalnum()]
 _CLASS = np.zeros(256, np.uint8)
 for _i, _c in enumerate(_PUNCTUATION):
@@ -77,9 +79,8 @@ class QualityModel:
         self.edges = self.weights = None
         if not len(positives) or not len(unlabelled):
             return
-        shares = np.linspace(0, 1, BINS + 1)[1:-1]
         pool = np.concatenate([unlabelled, positives])
-        self.edges = np.array([np.quantile(pool[:, j], shares) for j in range(pool.shape[1])])
+        self.edges = np.array([np.quantile(pool[:, j], CUTS) for j in range(pool.shape[1])])
         p, u = self._bins(positives), self._bins(unlabelled)
         if prior is None:
             self.prior = _prior(p, u, self._width)
@@ -93,7 +94,7 @@ class QualityModel:
         """The number of each statistic's bin, among all bins of all statistics."""
         return np.stack([j * BINS + np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], axis=1)
 
-    def _descend(self, p: np.ndarray, u: np.ndarray, rounds: int = 400, rate: float = 0.05, ridge: float = 2e-4) -> np.ndarray:
+    def _descend(self, p: np.ndarray, u: np.ndarray, rounds: int = 600, rate: float = 0.05, ridge: float = 2e-4) -> np.ndarray:
         """Weights and shift by Adam on the non-negative risk; where its negative part falls below 0, that part is climbed."""
         n = self._width
         w = np.zeros(n + 1)
