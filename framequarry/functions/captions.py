@@ -115,3 +115,21 @@ def video_index(video_id: Column | str) -> Column:
 def format_intervals(intervals: Column, limit: int = 3) -> Column:
     """The first intervals as ``start-end s (score)``."""
     return F.array_join(F.transform(F.slice(intervals, 1, limit), lambda s: F.format_string("%.1f-%.1f s (%.3f)", s["start"], s["end"], s["score"])), " · ")
+
+
+def response_text(response: Column | str) -> Column:
+    """The text of a model's JSON answer: a chat message (text or list of parts) or an output list; '' if there is none."""
+    r = F.col(response) if isinstance(response, str) else response
+    parts = lambda raw: F.array_join(F.filter(F.transform(F.from_json(raw, "array<struct<text:string>>"), lambda p: F.trim(p["text"])), lambda t: t != ""), "\n")
+    content = F.get_json_object(r, "$.choices[0].message.content")
+    outputs = F.from_json(F.get_json_object(r, "$.output"), "array<struct<content:array<struct<text:string>>>>")
+    flat = F.array_join(F.filter(F.transform(F.flatten(F.transform(outputs, lambda o: F.coalesce(o["content"], F.array().cast("array<struct<text:string>>")))), lambda p: F.trim(p["text"])), lambda t: t != ""), "\n")
+    chat = F.when(content.startswith("["), parts(content)).otherwise(content)
+    return F.coalesce(filled(chat), filled(F.get_json_object(r, "$.output_text")), filled(flat), F.lit(""))
+
+
+def prompt_messages(prompt: Column | str, frames: Column | str) -> Column:
+    """The content of a captioning request: the prompt, then each frame as an image part (a data URL of its JPEG bytes)."""
+    prompt, frames = (F.col(x) if isinstance(x, str) else x for x in (prompt, frames))
+    image = lambda b: F.struct(F.lit("image_url").alias("type"), F.concat(F.lit("data:image/jpeg;base64,"), F.base64(b)).alias("value"))
+    return F.concat(F.array(F.struct(F.lit("text").alias("type"), prompt.alias("value"))), F.transform(frames, image))

@@ -82,3 +82,11 @@ def resolve_files(items: DataFrame, files: DataFrame, roots: list[str], endings:
     tried = items.select("item_id", F.posexplode(F.array(*options)).alias("at", "candidate")).filter("candidate is not null")
     found = tried.join(files.select(F.col("path").alias("candidate")).distinct(), "candidate").groupBy("item_id").agg(F.min_by("candidate", "at").alias("resolved_path"))
     return items.join(found, "item_id", "left")
+
+
+def image_source(source: Column | str) -> Column:
+    """struct(kind, bytes): url, path or base64 by its form; the bytes of a base64 one, null if it doesn't decode."""
+    s = F.trim(_c(source))
+    body = F.regexp_replace(s, "^data:[^,]*,", "")
+    kind = F.when(s.rlike("(?i)^https?://"), "url").when(s.rlike(r"^(?:/|\.{1,2}/|[A-Za-z]:)|\.(?i:jpe?g|png|webp|bmp|gif)$"), "path").otherwise("base64")
+    return F.struct(kind.alias("kind"), F.when(kind == "base64", F.try_to_binary(body, F.lit("base64"))).alias("bytes"))
