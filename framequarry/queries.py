@@ -603,3 +603,96 @@ def picture_search(spark, sf):
 def hybrid_search(spark, sf):
     out = engines.HybridEngine(search_docs(spark, sf, embed=True), HashEncoder()).search("the thing of that src3", 10)
     return out.select("video_id", r6("score").alias("score"), F.col("sparse_rank").cast("long").alias("sparse_rank"), F.col("dense_rank").cast("long").alias("dense_rank"))
+
+
+# ---- selection, maintenance and small set operators
+
+
+@query("SELECT s_suppkey, s_name FROM (SELECT * FROM (SELECT *, try_cast(regexp_extract(s_name, '([0-9]+)$', 1) AS BIGINT) AS n FROM supplier) WHERE n BETWEEN 3 AND 60 ORDER BY s_suppkey LIMIT 30) WHERE s_suppkey % 7 <> 0")
+def select_videos(spark, sf):
+    s = table(spark, sf, "supplier").withColumn("n", captions.video_index("s_name")).filter("n between 3 and 60").drop("n")
+    return tables.select_videos(s, "s_suppkey", limit=30, done=table(spark, sf, "supplier").filter("s_suppkey % 7 = 0")).select("s_suppkey", "s_name")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN true WHEN o_orderstatus = 'O' THEN true ELSE false END AS skip, o_orderstatus = 'F' AS skip_retry FROM (SELECT o_orderkey, o_orderstatus FROM orders)")
+def skip_rules(spark, sf):
+    status = F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "O", "error")
+    return table(spark, sf, "orders").select("o_orderkey", tables.should_skip(status, False, False).alias("skip"), tables.should_skip(status, False, True).alias("skip_retry"))
+
+
+@query("SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE trim(text) <> '' AND lang <> 'en')::BIGINT AS structured FROM documents")
+def structured_counts(spark, sf):
+    d = table(spark, sf, "documents").withColumn("tags", F.filter(F.array("lang"), lambda t: t != "en"))
+    return d.agg(F.count("*").alias("total"), F.count_if(tables.structured("text", "tags")).alias("structured"))
+
+
+@query("SELECT pos, n.n_nationkey, n.n_name FROM nation n JOIN (SELECT unnest([7, 3, 24, 0, 11]) AS k, unnest([0, 1, 2, 3, 4]) AS pos) o ON n.n_nationkey = o.k")
+def reorder_by_ids(spark, sf):
+    return topk.in_order(table(spark, sf, "nation"), "n_nationkey", [7, 3, 24, 0, 11, 3]).select("pos", "n_nationkey", "n_name")
+
+
+@query(f"WITH {FRAMES}, s AS (SELECT DISTINCT video_id, segment_id FROM frames), c AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY segment_id DESC) AS r FROM s WHERE video_id < 5) SELECT s.segment_id, CASE WHEN s.video_id < 5 THEN c.r ELSE 9 END::BIGINT AS rank, CASE WHEN s.video_id < 5 THEN (c.r IS NOT NULL)::INT ELSE 1 END AS flag FROM s LEFT JOIN (SELECT * FROM c WHERE r <= 3) c ON s.segment_id = c.segment_id")
+def flag_representatives(spark, sf):
+    s = frames(spark, sf).select("video_id", "segment_id").distinct().withColumns({"representative_rank": F.lit(9), "is_representative": F.lit(1)})
+    chosen = topk.ranked(s.filter("video_id < 5").select("video_id", "segment_id"), ["video_id"], [F.desc("segment_id")], 3)
+    return tables.flag_representatives(s, chosen).select("segment_id", F.col("representative_rank").cast("long").alias("rank"), F.col("is_representative").alias("flag"))
+
+
+@query(f"WITH t AS ({TASKS}) SELECT video_id, CASE WHEN count(*) FILTER (WHERE status = 'failed') > 0 THEN 'failed' WHEN count(*) FILTER (WHERE status <> 'done') = 0 THEN 'done' WHEN count(*) FILTER (WHERE status <> 'pending') > 0 THEN 'processing' ELSE 'pending' END AS status FROM t GROUP BY 1")
+def video_states(spark, sf):
+    return tables.video_state(task_rows(spark, sf)).select("video_id", "status")
+
+
+@query("SELECT o_orderkey AS video_id, stage, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'failed' ELSE 'pending' END ELSE 'pending' END AS status FROM orders, (SELECT unnest(['segment', 'frame_extract', 'embedding', 'topk']) AS stage)")
+def ensure_tasks(spark, sf):
+    t = task_rows(spark, sf)
+    return tables.ensure_tasks(t.filter("video_id % 2 = 0"), t.select("video_id").distinct()).select("video_id", "stage", "status")
+
+
+@query("SELECT o_custkey AS video_id, bool_and(has AND n > 0 AND missing = 0) AS ready FROM (SELECT o.o_custkey, o.o_orderkey % 11 <> 0 AS has, count(l.l_orderkey) AS n, count(*) FILTER (WHERE l.l_quantity < 2) AS missing FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_custkey, o.o_orderkey) GROUP BY 1")
+def outputs_ready(spark, sf):
+    s = table(spark, sf, "orders").select(F.col("o_custkey").alias("video_id"), F.col("o_orderkey").alias("segment_id"), F.when(F.col("o_orderkey") % 11 != 0, 1).alias("embedding"))
+    f = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("segment_id"), F.when(F.col("l_quantity") >= 2, 1).alias("embedding"))
+    return tables.outputs_ready(s, f).select("video_id", "ready")
+
+
+@query("SELECT (SELECT count(*) FROM documents)::BIGINT AS records_indexed, (SELECT count(*) FROM labels)::BIGINT AS records_encoded, ((SELECT count(*) FROM documents) - (SELECT count(*) FROM labels))::BIGINT AS records_reused, 'full' AS last_build_mode, 0 AS incremental_adds")
+def build_manifest(spark, sf):
+    from framequarry.sources.files import manifest
+
+    return manifest(table(spark, sf, "documents"), table(spark, sf, "labels"), "full", 0)
+
+
+@query("SELECT event_id, event_id % 15 = 0 AND least(100 + event_id % 50, 130) >= 128 AS keep FROM events")
+def frame_rule(spark, sf):
+    return table(spark, sf, "events").select("event_id", sampling.keep_frame("event_id", 100 + F.col("event_id") % 50, F.lit(130), 30.0, 2.0).alias("keep"))
+
+
+@query("SELECT p_partkey, greatest(1, round_even((p_size * 40) * least(1.0, 640.0 / greatest(p_size * 40, 480)), 0))::INT AS width, greatest(1, round_even(480 * least(1.0, 640.0 / greatest(p_size * 40, 480)), 0))::INT AS height FROM part")
+def resize_dims(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", sampling.fit_within(F.col("p_size") * 40, F.lit(480), 640).alias("d")).select("p_partkey", "d.width", "d.height")
+
+
+@query()
+def keyframe_choice(spark, sf):
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.slice(F.array_sort(F.collect_set((F.col("value") * 3).cast("int"))), 1, 40).alias("s"))
+    return e.select("user_id", F.array_join(sampling.keyframes(F.lit(300), 8, F.col("s")), ",").alias("frames"))
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels))::BIGINT AS known, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels))::BIGINT AS fresh, (SELECT count(*) FROM (SELECT doc_id FROM documents UNION SELECT item_id FROM benchmark))::BIGINT AS either, (SELECT count(*) = 1 FROM (SELECT DISTINCT lang, source FROM documents)) AS one_signature")
+def set_operations(spark, sf):
+    d, known, b = table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id"), table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"))
+    ids = d.select("doc_id")
+    parts = ids.intersect(known).agg(F.count("*").alias("known")).crossJoin(ids.subtract(known).agg(F.count("*").alias("fresh"))).crossJoin(ids.union(b).distinct().agg(F.count("*").alias("either")))
+    return parts.crossJoin(d.agg((F.countDistinct(F.struct("lang", "source")) == 1).alias("one_signature")))
+
+
+@query("SELECT doc_id, upper(to_base64(encode(source))) AS b64, md5(text) AS content FROM documents")
+def binary_functions(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.upper(F.base64(F.col("source").cast("binary"))).alias("b64"), F.md5("text").alias("content"))
+
+
+@query("SELECT event_id, array_to_string(list_transform(list_filter([event_type, '', props], lambda x: x <> ''), lambda x: x), ' | ') AS line, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'caption' END AS source_text FROM events")
+def display_text(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", F.concat_ws(" | ", F.filter(F.array("event_type", F.lit(""), "props"), lambda x: x != "")).alias("line"), captions.filled(F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(" "), F.lit("caption")).alias("source_text"))
