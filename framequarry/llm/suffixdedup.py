@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from framequarry.llm.common import BATCH_ROWS, map_texts, utf8
 from framequarry.llm.lcp import LoserTree, decode, front_code, shared
-from framequarry.session import materialise
+from framequarry.session import discard, materialise
 
 MIN_BYTES = 400
 GRAM = 256
@@ -117,12 +117,12 @@ def _all_anchors(docs: DataFrame) -> DataFrame:
     return docs.select("k1", "k2", "text").mapInArrow(run, _ANCHORS)
 
 
-_CONTEXTS = T.StructType([T.StructField("g", T.LongType()), T.StructField("u", T.LongType()), T.StructField("n", T.LongType()), T.StructField("before", T.BinaryType()), T.StructField("suffix", T.BinaryType())])
+_CONTEXTS = T.StructType([T.StructField("g", T.LongType()), T.StructField("u", T.LongType()), T.StructField("n", T.LongType()), T.StructField("m", T.LongType()), T.StructField("before", T.BinaryType()), T.StructField("suffix", T.BinaryType())])
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the wanted contexts, (g, u, n, k1, k2, pos): those before the anchor, and the suffix from it on."""
-    by_doc = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "u", "n", "pos")).alias("at"))
+    """The bytes of the wanted contexts, (g, u, n, m, k1, k2, pos): those before the anchor, and the suffix from it on."""
+    by_doc = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "u", "n", "m", "pos")).alias("at"))
 
     def run(batches):
         for batch in batches:
@@ -130,9 +130,9 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for data, places in zip(utf8(batch.column("text")), batch.column("at").to_pylist(), strict=True):
                 for p in places:
                     at = p["pos"]
-                    for column, value in zip(out, (p["g"], p["u"], p["n"], data[max(0, at - REACH) : at], data[at : at + MIN_BYTES]), strict=True):
+                    for column, value in zip(out, (p["g"], p["u"], p["n"], p["m"], data[max(0, at - REACH) : at], data[at : at + MIN_BYTES]), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=_CONTEXTS.names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (*[pa.int64()] * 4, pa.binary(), pa.binary()), strict=True)], names=_CONTEXTS.names)
 
     return docs.join(by_doc, ["k1", "k2"]).select("text", "at").mapInArrow(run, _CONTEXTS)
 
@@ -174,7 +174,7 @@ def _runs(values: np.ndarray) -> list[dict]:
 
 
 def _sorted_contexts(contexts: DataFrame, partitions: int) -> DataFrame:
-    """(g, u, runs) of contexts whose gram has others: sort, front-code, exchange and merge."""
+    """(g, u, runs) of contexts (g, u, n, before, suffix) whose gram has others: sort, front-code, exchange and merge."""
     n = max(1, contexts.count())
     sample = contexts.filter(F.pmod("u", F.lit(1 << 20)) < min(1.0, SPLITTERS_FROM / n) * (1 << 20)).select(F.expr(f"substring(suffix, 1, {GRAM})").alias("s")).limit(2 * SPLITTERS_FROM)
     grams = sorted(bytes(r.s) for r in sample.collect())
@@ -258,25 +258,27 @@ def repeated_spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = materialise(_all_anchors(docs), "anchors")
-    again = found.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
-    found = materialise(found.join(again, "g", "left_semi"), "repeated")
+    everywhere = materialise(_all_anchors(docs), "anchors")
+    again = everywhere.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    found = materialise(everywhere.join(again, "g", "left_semi"), "repeated")
+    discard(everywhere)
     groups = materialise(found.groupBy("g", "u").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("at")), "contexts")
     classes = groups.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
-    wanted = groups.join(classes, "g").select("g", "u", "n", "m", "at.*")
-    contexts = materialise(_contexts(docs, wanted.filter(F.col("m") <= crowd).drop("m")), "suffixes")
-    parts = _sorted_contexts(contexts, partitions)
-    crowded = wanted.filter(F.col("m") > crowd).drop("m")
+    contexts = materialise(_contexts(docs, groups.join(classes, "g").select("g", "u", "n", "m", "at.*")), "suffixes")
+    columns = ["g", "u", "n", "before", "suffix"]
+    parts = materialise(_sorted_contexts(contexts.filter(F.col("m") <= crowd).select(*columns), partitions), "sorted")
+    crowded = contexts.filter(F.col("m") > crowd).select(*columns)
     if crowded.limit(1).count():
-        parts = parts.union(_counted_contexts(_contexts(docs, crowded)))
+        parts = parts.union(materialise(_counted_contexts(crowded), "counted"))
     whole = groups.filter("n > 1").select("g", "u", F.lit(None).cast(_FOUND["runs"].dataType).alias("runs"))
     some = parts.join(groups.filter("n = 1").select("g", "u"), ["g", "u"], "left_semi").select("g", "u", "runs")
     results = materialise(whole.union(some), "results")
+    discard(contexts)
     hit = found.join(results, ["g", "u"])
     everything = F.array(F.struct((F.col("pos") - F.least("pos", F.lit(REACH))).alias("start"), (F.col("pos") + GRAM + F.col("behind")).cast("int").alias("stop")))
     single = F.transform("runs", lambda r: F.struct((F.col("pos") - r["last"]).alias("start"), (F.col("pos") - r["first"] + MIN_BYTES).alias("stop")))
     spans = hit.select("k1", "k2", F.explode(F.when(F.col("runs").isNull(), everything).otherwise(single)).alias("s"))
-    return spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
+    return materialise(spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans")), "spans")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
