@@ -247,8 +247,8 @@ def _counted_contexts(contexts: DataFrame) -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=_STRINGS.names)
 
-    strings = contexts.mapInArrow(run, _STRINGS).dropDuplicates(["g", "u", "o"])
-    repeated = strings.groupBy("o", "h1", "h2").agg(F.sum("n").alias("times")).filter("times > 1").select("o", "h1", "h2")
+    strings = materialise(contexts.dropDuplicates(["g", "u"]).mapInArrow(run, _STRINGS), "strings")
+    repeated = materialise(strings.groupBy("o", "h1", "h2").agg(F.sum("n").alias("times")).filter("times > 1").select("o", "h1", "h2"), "repeated-strings")
     kept = strings.join(repeated, ["o", "h1", "h2"], "left_semi").groupBy("g", "u").agg(F.collect_set("o").alias("os"))
     return kept.select("g", "u", F.transform(F.array_sort("os"), lambda o: F.struct(o.alias("first"), o.alias("last"))).alias("runs"))
 
@@ -259,11 +259,12 @@ def repeated_spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     everywhere = materialise(_all_anchors(docs), "anchors")
-    again = everywhere.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    # sides of joins are written first where a key can be hot: Spark splits only keys that come straight from an exchange
+    again = materialise(everywhere.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "grams")
     found = materialise(everywhere.join(again, "g", "left_semi"), "repeated")
     discard(everywhere)
     groups = materialise(found.groupBy("g", "u").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("at")), "contexts")
-    classes = groups.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
+    classes = materialise(groups.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1"), "classes")
     contexts = materialise(_contexts(docs, groups.join(classes, "g").select("g", "u", "n", "m", "at.*")), "suffixes")
     columns = ["g", "u", "n", "before", "suffix"]
     parts = materialise(_sorted_contexts(contexts.filter(F.col("m") <= crowd).select(*columns), partitions), "sorted")
