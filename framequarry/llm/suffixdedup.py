@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framequarry.llm.common import BATCH_ROWS, map_texts, utf8
+from framequarry.llm.common import BATCH_ROWS, map_texts, utf8, without
 from framequarry.llm.lcp import LoserTree, decode, front_code, shared
 from framequarry.session import discard, materialise
 
@@ -102,9 +102,29 @@ _ANCHORS = T.StructType([*_KEYS, T.StructField("pos", T.IntegerType()), T.Struct
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows with a key: doc_id (a number for null) and a hash of the text; copies of a row share it."""
+    docs = without(docs, ["k1", "k2", "z", "spans"])
     return docs.withColumns({"k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "k2": F.xxhash64("text", F.col("doc_id").isNull())})
 
 
+def _packed(keyed: DataFrame) -> DataFrame:
+    """The rows with their text compressed (z), for the two joins that must shuffle it."""
+
+    def make():
+        from zstandard import ZstdCompressor
+
+        compress = ZstdCompressor(level=6, write_content_size=True).compress
+        return lambda texts: ([None if t is None else compress(t.encode()) for t in texts.to_pylist()],)
+
+    return map_texts(keyed, make, ["text"], [c for c in keyed.columns if c != "text"], [T.StructField("z", T.BinaryType())])
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    from zstandard import ZstdDecompressor
+
+    expand = ZstdDecompressor().decompress
+    return [b"" if z is None else expand(z) for z in column.to_pylist()]
+
+
 def _all_anchors(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -127,14 +147,14 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = [[] for _ in _CONTEXTS]
-            for data, places in zip(utf8(batch.column("text")), batch.column("at").to_pylist(), strict=True):
+            for data, places in zip(_unpacked(batch.column("z")), batch.column("at").to_pylist(), strict=True):
                 for p in places:
                     at = p["pos"]
                     for column, value in zip(out, (p["g"], p["u"], p["n"], p["m"], data[max(0, at - REACH) : at], data[at : at + MIN_BYTES]), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (*[pa.int64()] * 4, pa.binary(), pa.binary()), strict=True)], names=_CONTEXTS.names)
 
-    return docs.join(by_doc, ["k1", "k2"]).select("text", "at").mapInArrow(run, _CONTEXTS)
+    return _packed(docs.select("k1", "k2", "text")).join(by_doc, ["k1", "k2"]).select("z", "at").mapInArrow(run, _CONTEXTS)
 
 
 _PAYLOAD = "<qqq"
@@ -298,16 +318,16 @@ FIELDS = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.L
 
 def _joined(docs: DataFrame, crowd: int) -> DataFrame:
     keyed = _keyed(docs)
-    return keyed.join(repeated_spans(keyed.select("k1", "k2", "text"), crowd), ["k1", "k2"], "left")
+    return _packed(keyed).join(repeated_spans(keyed.select("k1", "k2", "text"), crowd), ["k1", "k2"], "left")
 
 
 def digests(docs: DataFrame, keep: list[str], crowd: int = CROWD) -> DataFrame:
     """Columns ``keep`` with n_bytes, n_removed, n_spans and the hash of the bytes that remain."""
 
     def make():
-        def work(texts: pa.Array, spans: pa.Array):
+        def work(packed: pa.Array, spans: pa.Array):
             rows = []
-            for data, own in zip(utf8(texts), spans.to_pylist(), strict=True):
+            for data, own in zip(_unpacked(packed), spans.to_pylist(), strict=True):
                 cut = merged(own)
                 kept, at = hashlib.sha256(), 0
                 for start, stop in cut:
@@ -320,7 +340,7 @@ def digests(docs: DataFrame, keep: list[str], crowd: int = CROWD) -> DataFrame:
         return work
 
     keep = [c for c in keep if c not in {f.name for f in FIELDS}]
-    return map_texts(_joined(docs.select(*dict.fromkeys(["doc_id", "text", *keep])), crowd), make, ["text", "spans"], keep, FIELDS)
+    return map_texts(_joined(docs.select(*dict.fromkeys(["doc_id", "text", *keep])), crowd), make, ["z", "spans"], keep, FIELDS)
 
 
 def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -328,20 +348,20 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     columns = docs.columns
 
     def make():
-        def work(texts: pa.Array, spans: pa.Array):
+        def work(packed: pa.Array, spans: pa.Array):
             out = []
-            for text, own in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-                data, parts, at = (text or "").encode(), [], 0
+            for data, own, there in zip(_unpacked(packed), spans.to_pylist(), packed.is_valid().to_pylist(), strict=True):
+                parts, at = [], 0
                 for start, stop in merged(own):
                     parts.append(data[at:start])
                     at = stop
-                out.append(None if text is None else b"".join([*parts, data[at:]]).decode(errors="ignore"))
+                out.append(None if not there else b"".join([*parts, data[at:]]).decode(errors="ignore"))
             return (out,)
 
         return work
 
-    clean = docs.select(*[F.col(f"`{c}`") for c in columns if c not in ("k1", "k2", "spans")])
-    out = map_texts(_joined(clean, crowd), make, ["text", "spans"], [c for c in clean.columns if c != "text"], [T.StructField("text", T.StringType())])
+    kept = [c for c in without(docs, ["k1", "k2", "z", "spans"]).columns if c != "text"]
+    out = map_texts(_joined(docs, crowd), make, ["z", "spans"], kept, [T.StructField("text", T.StringType())])
     for c in columns:
         if c not in out.columns:  # a clashing name of the input can't pass through
             out = out.withColumn(c, F.lit(None).cast(docs.schema[c].dataType))
