@@ -179,3 +179,13 @@ def test_plan_places_each_rank_once():
             stop = runs[i + 1][1] if i + 1 < len(runs) and runs[i + 1][0] == n else counts[n]
             given[n] += range(first, stop)
         assert {n: len(x) for n, x in given.items()} == dict(counts) and not plan.left
+
+
+def test_op3_equals_its_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = {tuple(r) for r in con.execute(queries.ORACLE_SQL["op3_decontaminate"]).fetchall()}
+    assert {tuple(r) for r in queries.op3_decontaminate(spark, sf).collect()} == want
