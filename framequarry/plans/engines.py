@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framequarry.config import HybridConfig, RetrievalConfig, fetch_k, validate_request
-from framequarry.functions.vector import dot
 from framequarry.operators import bm25, fusion, greedy, pooling, tables, temporal, topk
 from framequarry.plans.encoders import TextEncoder, encode_column
 from framequarry.session import materialise
@@ -156,7 +155,3 @@ def stale_or_new(docs: DataFrame, has_vector: Column, captioned: str, embedded:
 
 def embed_documents(docs: DataFrame, encoder: TextEncoder, text: Column) -> DataFrame:
     return docs.withColumn("embedding", encode_column(text, encoder))
-
-
-def similarity(a: str, b: str) -> Column:
-    return dot(a, b)
