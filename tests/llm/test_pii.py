@@ -50,7 +50,7 @@ def test_hard_texts(spark):
     texts = [
         "a@b.c_d@e.f a@b.c..x@y.z @a.b x@y a@b.-c é@b.co aé@b.co.é", "1.2.3.4.5.6.7.8 256.1.1.1 0010.1.1.1 1.2.3 999.1.2.3.4 99999999999999999999.1.1.1 😀10.0.0.1",
         "4111 1111 1111 1111 5 4111-1111-1111-1111 4111  1111 1111 1111 4111111111111112 0000000000000 1 2 3 4 5 6 7 8 9 0 1 2 3",
-        "+1 (017) 555-7713 +123456 +1.2.3.4.5.6.7.8.9 ++49 30 1234567) +1-2-3-4-5-6-7-8-9-0-1-2-3-4-5-6", "x" * 200_000 + "@a.b", "1" * 100_000, "1 " * 50_000, "+1 " * 20_000, "a@b.cc " * 2000,
+        "+1 (017) 555-7713 +123456 +1.2.3.4.5.6.7.8.9 ++49 30 1234567) +1-2-3-4-5-6-7-8-9-0-1-2-3-4-5-6", "x" * 200_000 + "@a.b", "1" * 6_000, "1 " * 50_000, "+1 " * 20_000, "a@b.cc " * 2000,
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = pii.candidates(df, ["doc_id"])
