@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framequarry.functions import text as X
+from framequarry.session import materialise
 
 #: Effective field weights.
 WEIGHTS = {"tags": 2.0, "description": 1.0, "caption": 1.0}
@@ -30,14 +31,17 @@ def term_fields(docs: DataFrame, key: str, tags: Column, description: Column, ca
 
 
 def build(fields: DataFrame, key: str, weights: dict[str, float] = WEIGHTS) -> SparseIndex:
-    """An index over space-joined fields; they are split again at anything that isn't a letter or a digit."""
+    """An index over space-joined fields; they are split again at anything that isn't a letter or a digit.
+
+    Postings and statistics are written to the shared folder once; searches read them and not the texts.
+    """
     split = lambda c: F.filter(F.split(F.lower(F.col(c)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
     arrays = {n: split(f"{n}_terms") for n in weights}
     sized = fields.select(key, *[a.alias(n) for n, a in arrays.items()]).withColumn("length", sum((F.size(n) for n in weights), F.lit(0)))
     weighted = F.concat(*[F.transform(n, _weigh(v)) for n, v in weights.items()])
     postings = sized.select(key, "length", F.explode(weighted).alias("p")).groupBy(key, "length", F.col("p.term").alias("term")).agg(F.sum("p.w").alias("f"))
     stats = sized.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
-    return SparseIndex(key, postings.select(key, "term", "f", "length"), stats)
+    return SparseIndex(key, materialise(postings.select(key, "term", "f", "length"), "postings"), materialise(stats, "postings-stats"))
 
 
 def _weigh(weight: float):
