@@ -91,6 +91,19 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle: int
     return marked.join(classes, "fp", "left").select(*keep, "fp", "component_id")
 
 
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` written with __row, a unique number that stays the same however often the table is read."""
+    return materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
+def one_row_each(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Of ``rows`` one of each component of ``found`` (__row, doc_id, component): the smallest doc_id, null last, then __row."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    best = found.groupBy("component").agg(F.min(key).alias("best")).select(F.col("best.__row").alias("__row"))
+    lost = found.select("__row").join(best, "__row", "left_anti")  # mostly few
+    return rows.join(materialise(lost, "lost"), "__row", "left_anti")
+
+
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate component: that of the smallest doc_id (of equal ones, any one).
 
