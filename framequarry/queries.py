@@ -406,7 +406,7 @@ def kmeans_frame_select(spark, sf):
 
 @query()
 def scene_changes(spark, sf):
-    rows = table(spark, sf, "events").groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("idx"), F.array("value").alias("sig")))), 1, 200).alias("s"))
+    rows = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("idx"), F.array("value").alias("sig")))).alias("s"))
     return rows.select("user_id", F.posexplode(greedy.scene_changes(F.col("s"), 30.0, 4)).alias("pos", "event_id"))
 
 
@@ -675,7 +675,7 @@ def resize_dims(spark, sf):
 
 @query()
 def keyframe_choice(spark, sf):
-    e = table(spark, sf, "events").groupBy("user_id").agg(F.slice(F.array_sort(F.collect_set((F.col("value") * 3).cast("int"))), 1, 40).alias("s"))
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_set((F.col("value") * 3).cast("int"))).alias("s"))
     return e.select("user_id", F.array_join(sampling.keyframes(F.lit(300), 8, F.col("s")), ",").alias("frames"))
 
 

@@ -229,3 +229,21 @@ def test_engines(spark):
 
     rows = encoders.caption_rows(spark.createDataFrame([(0, 0), (1, 1)], "id int, x int"), describe, ["x"], "id", attempts=2).orderBy("id").collect()
     assert [(r.answer, r.error) for r in rows] == [("ok", None), (None, "RuntimeError: down")]
+
+
+def test_event_queries_read_all_events_of_a_user(spark, tmp_path):
+    from framequarry import queries
+
+    rows = [(1, i, float(i % 300 // 3)) for i in range(900)] + [(2, 1000 + i, 0.0 if i < 250 else 90.0) for i in range(300)]
+    spark.createDataFrame(rows, "user_id long, event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {}
+    for r in queries.scene_changes(spark, str(tmp_path)).collect():
+        got.setdefault(r.user_id, []).append(r.event_id)
+    want, last = [], None
+    for _, i, v in rows[:900]:
+        if last is None or len(want) < 16 and abs(v - last) >= 30:
+            want.append(i)
+            last = v
+    assert {k: sorted(v) for k, v in got.items()} == {1: want, 2: [1000, 1250]}
+    frames = {r.user_id: r.frames for r in queries.keyframe_choice(spark, str(tmp_path)).collect()}
+    assert frames[1] == "0,3,100,102,198,199,297,299"
