@@ -79,16 +79,19 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle: int = SHINGLE) -> DataFrame:
-    """Columns ``keep`` with fp and component_id, the smallest doc_id that links of at most 2 bits reach."""
+def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle: int = SHINGLE, labels: bool = False) -> DataFrame:
+    """Columns ``keep`` with fp and component_id, the smallest doc_id that links of at most 2 bits reach.
+
+    ``labels`` adds component, its smallest fingerprint, which is there for components without doc_id, too.
+    """
     keep = ["doc_id"] if keep is None else keep
     marked = materialise(fingerprints(docs, list(dict.fromkeys(["doc_id", *keep])), shingle), "simhash")
     fps = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     linked = components(links(fps)).withColumnsRenamed({"node": "fp"}).join(fps, "fp")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    merged = linked.join(least, "component").select("fp", "least")
-    classes = materialise(fps.join(merged, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "classes")
-    return marked.join(classes, "fp", "left").select(*keep, "fp", "component_id")
+    merged = linked.join(least, "component").select("fp", "least", "component")
+    classes = materialise(fps.join(merged, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), F.coalesce("component", "fp").alias("component")), "classes")
+    return marked.join(classes, "fp", "left").select(*keep, "fp", "component_id", *(["component"] if labels else []))
 
 
 def numbered_rows(docs: DataFrame) -> DataFrame:
@@ -105,10 +108,7 @@ def one_row_each(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate component: that of the smallest doc_id (of equal ones, any one).
-
-    Rows without doc_id have no other key to be known by and all stay.
-    """
-    ids = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi")
-    return kept.union(docs.filter("doc_id is null"))
+    """One row of each near-duplicate component: that of the smallest doc_id (of equal ones, any one); null ids come last."""
+    rows = numbered_rows(docs)
+    found = near_duplicates(rows, ["__row", "doc_id"], labels=True)
+    return one_row_each(rows, found).select(*docs.columns)

@@ -42,3 +42,19 @@ def test_stage_links_chains_and_non_copies(spark, sf):
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in STAGE(spark, docs, sf).collect()) == smallest_ids(rows)
+
+
+def test_one_row_of_each_component(spark, odd):
+    from framequarry.llm import simhash
+
+    docs = odd.select("doc_id", "text")
+    labels = simhash.near_duplicates(docs, labels=True).collect()
+    kept = simhash.keep_representatives(docs).collect()
+    assert len(kept) == len({r.component for r in labels})
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({r.component_id for r in labels if r.component_id is not None})
+    assert [r.text for r in kept if r.doc_id is None] == ["no id"]
+    # empty, a, Ω, the fox, the fox!, long, x, Japanese, mail, no id
+    assert len(STAGE(spark, odd, "").collect()) == 10
+    same = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (1, "x y z"), (None, "p q"), (None, "p q")], "doc_id long, text string")
+    for keep in (simhash.keep_representatives, jaccard.keep_representatives):
+        assert sorted((r.doc_id or 0, r.text) for r in keep(same).collect()) == [(0, "p q"), (1, "a b c"), (1, "x y z")]
