@@ -182,7 +182,10 @@ class Plan:
             two = order[0] * 2 if self.left[order[0]] > 1 else order[0] + (order[1] if len(order) > 1 else self.capacity)
             if two <= free:
                 return  # three pieces fit together: no dominance by pairs
-            small = order[bisect.bisect_right(order, free) - 1]
+            at = bisect.bisect_right(order, free) - 1
+            if at and order[at] == large and self.left[large] == 1:  # no other of its own length: the next smaller fits
+                at -= 1
+            small = order[at]
             times = self.left[large] // 2 if small == large else min(self.left[large], self.left[small])
             if not times:
                 self._fix(large, None, 1)

@@ -189,3 +189,10 @@ def test_op3_equals_its_sql(spark, sf):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = {tuple(r) for r in con.execute(queries.ORACLE_SQL["op3_decontaminate"]).fetchall()}
     assert {tuple(r) for r in queries.op3_decontaminate(spark, sf).collect()} == want
+
+
+def test_plan_pairs_odd_counts():
+    assert packing.Plan({1000: 1, 900: 1}).sequences == 1
+    lengths = np.random.default_rng(3).choice(np.arange(690, 1025), 301, replace=False)
+    assert packing.Plan({int(n): 1 for n in lengths}).sequences == 151
+    assert packing.Plan({1000: 3, 900: 3, 700: 1}).sequences == 4
