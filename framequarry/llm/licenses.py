@@ -1,13 +1,16 @@
 """Licence scans, in DataFrame expressions only.
 
-A paragraph is a run of lines without a blank or line break between them: here each non-empty line. A multinomial
+A paragraph is a run of lines without a blank line in it. Its lines are judged one by one first (a line may hold a notice
+of its own); the lines between those that name a licence are then judged as one text, so that a notice wrapped over lines
+is found. n_paragraphs counts, and ``paragraph`` numbers, the non-empty lines; a wrapped notice has the number of its run's
+first line with an anchor. A single line has one family, a run each family that is probable and confirmed. A multinomial
 logistic regression over sparse word n-grams (1 to 3 words) scores each paragraph for licence families and for unknown. It is
 trained from fixed notices of each family, with words left out, and from paragraphs of the corpus as unknown. Its
 temperature and the least probability of a family are calibrated on notices held out of the fit, so that unlike
 paragraphs stay unknown. A prediction must be confirmed by its family's templates: the share of a template's distinguishing
 word pairs that the paragraph holds.
 
-Only paragraphs with at least one word of the model's anchors are scored; without one the model's family scores can't
+Only texts with at least one word of the model's anchors are scored; without one the model's family scores can't
 reach the least probability, so nothing is lost. At most ``UNKNOWN`` corpus paragraphs, picked by a hash, train the model.
 
 Defined cases: null and empty texts have no paragraph; repeated paragraphs count each; an empty table gives no rows and
@@ -157,6 +160,22 @@ def _paragraphs(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\r\n]+", -1), lambda p: F.trim(p) != "")
 
 
+def _lines(text: Column, anchors: str) -> Column:
+    """The non-empty lines: struct(i, p, first: of its paragraph, hot: has an anchor)."""
+    blocks = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?>\r\n|\r|\n) *+(?=[\r\n])", -1), _paragraphs)
+    lines = F.flatten(F.transform(blocks, lambda b: F.transform(b, lambda p, j: F.struct(p.alias("p"), (j == 0).alias("first")))))
+    return F.transform(lines, lambda x, i: F.struct(i.alias("i"), x["p"].alias("p"), x["first"].alias("first"), x["p"].rlike(anchors).alias("hot")))
+
+
+def _runs(lines: Column, hits: Column) -> Column:
+    """The lines of each paragraph between those of ``hits``, joined: struct(i, p) where there are two or more and an anchor."""
+    at = F.transform(hits, lambda h: h["paragraph"])
+    starts = F.transform(F.filter(lines, lambda x: x["first"]), lambda x: x["i"])
+    cuts = F.array_sort(F.array_distinct(F.concat(starts, at, F.transform(at, lambda i: i + 1), F.array(F.size(lines)))))
+    parts = F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), lambda a, b: F.when(b - a > 1, F.slice(lines, a + 1, b - a)))
+    return F.transform(F.filter(parts, lambda x: F.exists(x, lambda y: y["hot"])), lambda x: F.struct(F.filter(x, lambda y: y["hot"])[0]["i"].alias("i"), F.array_join(F.transform(x, lambda y: y["p"]), "\n").alias("p")))
+
+
 def _grams(words: Column) -> Column:
     n = F.size(words)
     pair = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
@@ -178,9 +197,8 @@ def scan(docs: DataFrame, model: LicenseModel, keep: list[str] | None = None) ->
     d = without(docs, ADDED) if "text" not in ADDED else docs
     anchors = model.pattern()
     text = F.col("text")
-    d = d.select(*[F.col(f"`{c}`") for c in keep], _paragraphs(text).alias("__p"))
-    numbered = F.filter(F.transform("__p", lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: x["p"].rlike(anchors))
-    d = d.withColumn("__hot", numbered)
+    d = d.select(*[F.col(f"`{c}`") for c in keep], _lines(text, anchors).alias("__p"))
+    d = d.withColumn("__hot", F.filter("__p", lambda x: x["hot"]))
     weights = F.create_map(*[x for g, v in sorted(model.weights.items()) for x in (F.lit(g), F.array(*[F.lit(a - v[-1]) for a in v[:-1]]))]) if model.weights else None
     start = F.array(*[F.lit(b - model.bias[-1]) for b in model.bias[:-1]])
     known = F.array(*[F.lit(g) for g in sorted(model.weights)])
@@ -199,6 +217,21 @@ def scan(docs: DataFrame, model: LicenseModel, keep: list[str] | None = None) ->
         cover = F.array_max(F.transform(F.element_at(pairs, family), lambda t: F.size(F.array_intersect(t, x["found"])) / F.size(t)))
         return F.struct(x["paragraph"].alias("paragraph"), family.alias("family"), (1 / (1 + F.exp(-(top - model.least) * model.slope))).alias("probability"), cover.alias("coverage"))
 
-    hits = F.filter(F.transform(F.transform("__hot", judged), named), lambda h: (h["probability"] >= 0.5) & (h["coverage"] >= CONFIRMED))
+    def confirmed(h: Column) -> Column:
+        return (h["probability"] >= 0.5) & (h["coverage"] >= CONFIRMED)
+
+    def each(x: Column) -> Column:
+        def one(m: Column, k: Column) -> Column:
+            cover = F.array_max(F.transform(F.element_at(pairs, families[k]), lambda t: F.size(F.array_intersect(t, x["found"])) / F.size(t)))
+            return F.when(m >= model.least, F.struct(x["paragraph"].alias("paragraph"), families[k].alias("family"), (1 / (1 + F.exp(-(m - model.least) * model.slope))).alias("probability"), cover.alias("coverage")))
+
+        return F.filter(F.transform(x["margins"], one), confirmed)
+
     kind = "array<struct<paragraph:int,family:string,probability:double,coverage:double>>"
-    return d.select(*keep, F.size("__p").cast("long").alias("n_paragraphs"), F.when(F.size("__hot") > 0, hits).otherwise(F.array().cast(kind)).alias("licenses"))
+    none = F.array().cast(kind)
+    hits = F.filter(F.transform(F.transform("__hot", judged), named), confirmed)
+    d = d.withColumn("__single", F.when(F.size("__hot") > 0, hits).otherwise(none))
+    d = d.withColumn("__runs", F.when(F.size("__hot") > F.size("__single"), _runs(F.col("__p"), F.col("__single"))).otherwise(F.array().cast("array<struct<i:int,p:string>>")))
+    wrapped = F.flatten(F.transform(F.transform("__runs", judged), each))
+    both = F.when(F.size("__runs") > 0, F.array_sort(F.concat(F.col("__single"), wrapped))).otherwise(F.col("__single"))
+    return d.select(*keep, F.size("__p").cast("long").alias("n_paragraphs"), both.alias("licenses"))

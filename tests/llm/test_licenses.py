@@ -52,3 +52,20 @@ def test_notices_and_odd_rows(spark, odd, empty):
     out = licenses.scan(odd.withColumnRenamed("source", "licenses"), model)
     assert out.count() == odd.count() and all(not r.licenses for r in out.collect())
     assert licenses.scan(empty, licenses.fit(empty)).count() == 0
+
+
+def test_wrapped_notices(spark):
+    import textwrap
+
+    model = licenses.LicenseModel(["the cat is under the table", "a good day to all"] * 20)
+    long = [(f, n) for f in licenses.FAMILIES for n in licenses.NOTICES[f] if len(n) > 100]
+    wrap = lambda n: "\n".join(textwrap.wrap(n, 30))
+    prose = "the cat is under the table\na good day to all"
+    rows = [(i, f"{prose}\n{wrap(n)}\n{prose}", [f]) for i, (f, n) in enumerate(long)]
+    own, mit = wrap(dict(long)["proprietary"]), "Released under the MIT License"
+    rows += [(100, own.replace("\n", "\r\n"), ["proprietary"]), (101, f"{mit}\n{own}", ["mit", "proprietary"]), (102, f"{wrap(long[0][1])}\n\n{own}\n{mit}", [long[0][0], "proprietary", "mit"]), (103, own.replace("\n", "\n\n"), [])]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df, model).collect()}
+    found = {i: {x.family for x in got[i].licenses} for i, *_ in rows}
+    assert all(set(f) <= found[i] if i < 100 else set(f) == found[i] for i, _, f in rows)
+    assert got[100].n_paragraphs == len(own.split("\n"))
