@@ -29,15 +29,34 @@ def build(master: str | None = None, **extra: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a folder of this machine is taken and put into the session.
+    Where the session names none, a folder of this machine is taken and put into the session, in local mode only: on a
+    cluster each executor would write to its own disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{os.path.join(tempfile.gettempdir(), 'framequarry-shared')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's folder of intermediate tables."""
+    return f"{shared_dir(spark)}/framequarry/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that read them must have been written before."""
+    _delete(spark, work_dir(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again.
 
@@ -45,7 +64,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     behind the table aren't needed any more; Spark's cleaner removes them once the driver's garbage is collected.
     """
     spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/framequarry/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     del df
     gc.collect()
@@ -57,6 +76,4 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Delete the files of a materialised table that nothing will read again."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(table.sparkSession, table.written_to)
