@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -63,3 +63,29 @@ def hashed_sample(df: DataFrame, key: str, fraction: Column | float) -> DataFram
     """The rows whose hashed key falls into ``fraction`` of the hash range: the same rows at every run."""
     fraction = F.lit(float(fraction)) if isinstance(fraction, (int, float)) else fraction
     return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < fraction * float(1 << 30))
+
+
+def distinct_sample(df: DataFrame, value: str, n: int) -> list[Row]:
+    """At most ``n`` distinct values of a column, spread by their hash: the same at every run, however often a value is repeated."""
+    rows = df.select(value)
+    total = rows.count()
+    picked = hashed_sample(rows, value, min(1.0, 1.5 * n / total)) if total > n else rows
+    return picked.distinct().orderBy(F.xxhash64(value), value).limit(n).collect() if total else []
+
+
+def spread_sample(df: DataFrame, value: str, n: int) -> list[Row]:
+    """About ``n`` rows of a column, repeated values as often as they occur: of each value a share fixed by its hash.
+
+    A value of many rows is thinned, so that the number stays near n; the same at every run.
+    """
+    rows = df.select(value, F.xxhash64(value).alias("__h"))
+    counted = rows.groupBy("__h").agg(F.count("*").alias("__n"))
+    total = df.count()
+    if not total:
+        return []
+    each = F.col("__n") * F.lit(min(1.0, n / total))
+    part = F.pmod("__h", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = (F.floor(each) + (part < each - F.floor(each)).cast("long")).alias("__times")
+    chosen = counted.select("__h", times).filter("__times > 0").orderBy("__h").limit(2 * n)
+    found = rows.join(F.broadcast(chosen), "__h").dropDuplicates(["__h"]).orderBy("__h").collect()
+    return [r for r in found for _ in range(r["__times"])]

@@ -6,29 +6,32 @@ log odds, scaled and shifted by a logistic fit. Decoding weighs each bit's logis
 did in training; the codeword with the least loss wins, the score is its share of exp(-loss), and a text is flagged
 ambiguous if the runner-up comes close.
 
-Training takes at most ``PER_LANGUAGE`` texts of a language, picked by a hash of doc_id, and of the ``LANGUAGES`` most
-frequent languages. Defined cases: null texts and texts without a letter are ``und`` with score 0; null languages are
-not learned from; equal texts get equal predictions; without any labelled text every prediction is ``und``.
+Training takes at most ``PER_LANGUAGE`` distinct texts of a language (a documented bound on labelled rows; with very many languages
+at most ``TEXTS`` over all of them, but no fewer than 20 of each), picked by a hash of the text, so that a doc_id or text
+shared by many rows brings no more. Every language that occurs is learned. Defined cases: null texts and texts without a
+letter (Unicode category L) are ``und`` with score 0; null languages are not learned from; equal texts get equal
+predictions; very long texts are read whole, in parts; without any labelled text every prediction is ``und``; an empty
+table gives no rows; columns of the input that bear the name of an added column are replaced by it.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from framequarry.llm.common import hashed_sample, map_texts, utf8
+from framequarry.llm.common import hashed_sample, map_texts, utf8, without
 
 BUCKETS = 1 << 16
 PER_LANGUAGE = 400
-LANGUAGES = 512
+TEXTS = 100_000
 AMBIGUOUS = 0.8
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: ASCII letters in lower case, bytes of other letters as they are, all else a blank.
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint32)
 
@@ -67,19 +70,21 @@ class LanguageModel:
         self.code = codewords(len(self.langs)).astype(np.float32)
         if not texts:
             return
-        y = np.array([self.langs.index(x) for x in langs])
-        counts = np.full((len(self.langs), BUCKETS), 0.2)
-        for k in range(len(self.langs)):
-            own = [t for t, i in zip(texts, y, strict=True) if i == k]
-            counts[k] += np.bincount(trigrams(own)[0], minlength=BUCKETS)
-        share = counts / counts.sum(axis=1, keepdims=True)
+        number = {x: k for k, x in enumerate(self.langs)}
+        y = np.array([number[x] for x in langs])
         ones = self.code > 0
-        w = []
-        for b in range(self.code.shape[1]):
-            yes, no = ones[:, b], ~ones[:, b]
-            # the likeliest language on either side, so that a side of many languages isn't blurred
-            w.append(np.log(share[yes].mean(axis=0)) - np.log(share[no].mean(axis=0)) if yes.any() and no.any() else np.zeros(BUCKETS))
-        self.weights = np.ascontiguousarray(np.array(w).T, np.float32)
+        yes, no = (np.zeros((ones.shape[1], BUCKETS)) for _ in range(2))
+        for k in range(len(self.langs)):  # a language at a time: each side of a bit is the mean of its languages' shares
+            counts = 0.2 + np.bincount(trigrams([texts[i] for i in np.flatnonzero(y == k)])[0], minlength=BUCKETS)
+            share = counts / counts.sum()
+            yes[ones[k]] += share
+            no[~ones[k]] += share
+        n_yes = ones.sum(axis=0)[:, None]
+        n_no = len(ones) - n_yes
+        both = ((n_yes > 0) & (n_no > 0))[:, 0]
+        w = np.zeros_like(yes)
+        w[both] = np.log(yes[both] / n_yes[both]) - np.log(no[both] / n_no[both])
+        self.weights = np.ascontiguousarray(w.T, np.float32)
         self.scale, self.shift = np.ones(len(w), np.float32), np.zeros(len(w), np.float32)
         m, target = self._means(texts), self.code[y]
         good = []
@@ -126,23 +131,31 @@ def _logistic(x: np.ndarray, sign: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.0), float(w[1])
 
 
-def fit(docs: DataFrame, trained: Column | bool = True, per_language: int = PER_LANGUAGE) -> LanguageModel:
+def fit(docs: DataFrame, trained: Column | bool = True, per_language: int = PER_LANGUAGE, texts: int = TEXTS) -> LanguageModel:
     """A model of the rows where ``trained`` holds, from text and lang alone."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if trained is True else trained))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if trained is True else trained)).select("lang", "text")
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return LanguageModel([], [])
-    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, per_language / r["count"]))]), F.col("lang"))
-    picked = hashed_sample(rows.withColumn("share", F.coalesce(share, F.lit(0.0))), "doc_id", F.col("share")).select("text", "lang").collect()
-    if not picked:
-        picked = rows.select("text", "lang").limit(per_language).collect()
+    most = min(per_language, max(20, texts // len(counts)))
+    share = rows.sparkSession.createDataFrame([(k, min(1.0, 1.5 * most / n)) for k, n in counts.items()], "lang string, share double")
+    # first by the hash alone, which costs no shuffle of texts; equal texts all fall into the sample, or none, and count once
+    some = hashed_sample(rows.join(F.broadcast(share), "lang"), "text", F.col("share")).select("lang", "text").distinct()
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
+    picked = some.withColumn("n", order).filter(F.col("n") <= most).select("text", "lang").collect()
+    lost = sorted(set(counts) - {r.lang for r in picked})  # of a language with few distinct texts the hash may have taken none
+    if lost:
+        first = rows.join(F.broadcast(share.filter(F.col("lang").isin(lost)).select("lang")), "lang").groupBy("lang").agg(F.min("text").alias("text"))
+        picked += first.select("text", "lang").collect()
+    picked.sort(key=lambda r: (r.lang, r.text))
     return LanguageModel([r.text.encode() for r in picked], [r.lang for r in picked])
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (all by default) with lang_pred, score and ambiguous; added columns win over clashing ones."""
-    names = {f.name for f in FIELDS}
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    names = [f.name for f in FIELDS]
+    docs = without(docs, names)
+    keep = docs.columns if keep is None else [c for c in keep if c.lower() not in names]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

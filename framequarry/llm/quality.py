@@ -1,14 +1,23 @@
 """Quality by positive-unlabelled learning.
 
 Trusted positives and unlabelled web text train a linear score over binned text statistics, by minimising the
-non-negative unbiased risk: prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)). The class prior is
-estimated from the labelled rows' share of positives where both labels occur, else from the unlabelled text by the
-share of it that looks like the positives. Statistics: shares of character classes, repetition of words and lines,
-lengths; each is cut into bins at the quantiles of the training texts.
-
-Training takes at most ``POSITIVES`` and ``UNLABELLED`` rows picked by a hash of doc_id; statistics are computed of every
-whole text. Defined cases: null and empty texts have zero statistics and are scored; labels of unknown or repeated
-doc_ids: a doc_id is positive if any of its labels is; without positives every score is the prior of 0.5.
+non-negative unbiased risk: prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)). Labels of bad text are
+never used. Statistics: shares of character classes, repetition of words and lines, lengths; each is cut into bins at
+quantiles over all rows of the table.
+
+The class prior is estimated, too. A first score tells half of the positives from half of the unlabelled sample; then the
+whole table is scored, and the prior is the least ratio, over thresholds, of the share of all rows above the threshold to the
+share of the other half of the positives above it, with a bound on the chance error of either share added when the
+threshold is chosen. Above a threshold that only good text reaches, that ratio is the share of good text.
+
+The gradient is taken over at most ``POSITIVES`` positives (labelled rows) and ``UNLABELLED`` rows of unlabelled text, picked
+by a hash: a bound on the sums each of some hundred rounds runs over, a parameter of ``fit``; the quantiles, the prior, the
+statistics and the scores cover every row and whole texts.
+
+Defined cases: null and empty texts have zero statistics and are scored; very long texts are read whole; repeated rows are
+scored one by one and alike; labels of null or unknown doc_ids say nothing; a doc_id is positive if any of its labels is;
+without positives every score is 0.5; an empty table gives no rows; columns stats and quality_score of the input are
+replaced by the operator's.
 """
 
 from __future__ import annotations
@@ -21,11 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framequarry.llm.common import hashed_sample, map_texts, utf8
+from framequarry.llm.common import distinct_sample, map_texts, spread_sample, utf8
 
 POSITIVES = 6000
 UNLABELLED = 12_000
 THRESHOLD = 0.5
+#: Bins of scores that the prior is estimated from.
+LEVELS = 1000
 #: Where the bins of each statistic are cut, as shares of the training texts; finer at the ends, where bad text lies.
 CUTS = (0.01, 0.03, *(i / 12 for i in range(1, 12)), 0.97, 0.99)
 BINS = len(CUTS) + 1
@@ -65,6 +76,9 @@ def statistics(texts: list[bytes]) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` and stats, the statistics of each whole text."""
+    keep = [c for c in keep if c.lower() != "stats"]
+
     def make():
         return lambda texts: (pa.array(list(statistics(utf8(texts)).astype(np.float32)), pa.list_(pa.float32())),)
 
@@ -72,19 +86,17 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 class QualityModel:
-    """Bins and weights; ``score`` gives the probability of good text."""
-
-    def __init__(self, positives: np.ndarray, unlabelled: np.ndarray, prior: float | None):
-        self.prior = 0.5 if prior is None else prior
-        self.edges = self.weights = None
-        if not len(positives) or not len(unlabelled):
-            return
-        pool = np.concatenate([unlabelled, positives])
-        self.edges = np.array([np.quantile(pool[:, j], CUTS) for j in range(pool.shape[1])])
-        p, u = self._bins(positives), self._bins(unlabelled)
-        if prior is None:
-            self.prior = _prior(p, u, self._width)
-        self.weights = self._descend(p, u)
+    """Bins, weights and prior; ``score`` gives the probability of good text."""
+
+    def __init__(self, edges: np.ndarray | None = None, prior: float = 0.5):
+        """edges: where each statistic is cut; without any every score is the prior."""
+        self.edges, self.prior, self.weights = edges, prior, None
+
+    def learn(self, positives: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 600) -> QualityModel:
+        self.prior = prior
+        if self.edges is not None and len(positives) and len(unlabelled):
+            self.weights = self._descend(self._bins(positives), self._bins(unlabelled), rounds)
+        return self
 
     @property
     def _width(self) -> int:
@@ -94,7 +106,7 @@ class QualityModel:
         """The number of each statistic's bin, among all bins of all statistics."""
         return np.stack([j * BINS + np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], axis=1)
 
-    def _descend(self, p: np.ndarray, u: np.ndarray, rounds: int = 600, rate: float = 0.05, ridge: float = 2e-4) -> np.ndarray:
+    def _descend(self, p: np.ndarray, u: np.ndarray, rounds: int, rate: float = 0.05, ridge: float = 2e-4) -> np.ndarray:
         """Weights and shift by Adam on the non-negative risk; where its negative part falls below 0, that part is climbed."""
         n = self._width
         w = np.zeros(n + 1)
@@ -122,28 +134,47 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(m, -60, 60)))
 
 
-def _prior(p: np.ndarray, u: np.ndarray, width: int) -> float:
-    """The largest share of the unlabelled that the positives can explain in every well-filled bin."""
-    a, b = np.bincount(p.ravel(), minlength=width) / len(p), np.bincount(u.ravel(), minlength=width) / len(u)
-    filled = a > 0.03
-    return float(np.clip((b[filled] / a[filled]).min() if filled.any() else 0.5, 0.05, 0.99))
+def share_of_positives(unlabelled: np.ndarray, positives: np.ndarray, surely: float = 0.05) -> float:
+    """The class prior from counts of scores in equal bins, from 0 to 1, of all rows and of positives not learned from."""
+    n_u, n_p = max(1, unlabelled.sum()), max(1, positives.sum())
+    above_u, above_p = np.cumsum(unlabelled[::-1]) / n_u, np.cumsum(positives[::-1]) / n_p
+    wide = sum(np.sqrt(np.log(4 / surely) / (2 * n)) for n in (n_u, n_p))
+    some = above_p > 0
+    if not some.any():
+        return 0.5
+    u, p = above_u[some], above_p[some]
+    at = int(np.argmin((u + wide) / p))
+    return float(np.clip(u[at] / p[at], 0.02, 0.98))
+
+
+def _counts(stats: DataFrame, model: QualityModel) -> np.ndarray:
+    """How many rows of the table have a score in each of LEVELS bins."""
+    found = score(stats, model, []).select(F.least(F.floor(F.col("quality_score") * LEVELS), F.lit(LEVELS - 1)).cast("int").alias("k"))
+    out = np.zeros(LEVELS)
+    for r in found.groupBy("k").count().collect():
+        out[r.k] = r["count"]
+    return out
 
 
 def fit(stats: DataFrame, labels: DataFrame, trained: Column, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> QualityModel:
-    """A model of rows (doc_id, stats): positives are the trained rows labelled 1, unlabelled is a sample of all rows."""
-    marks = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & trained).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n, good, n_all = (*marks.agg(F.count("*"), F.count_if(F.col("quality") == 1)).first(), stats.count())
-    if not good:
-        return QualityModel(np.zeros((0, STATISTICS)), np.zeros((0, STATISTICS)), None)
-    picked = hashed_sample(marks.filter("quality = 1"), "doc_id", min(1.0, positives / good)).select("doc_id")
-    p = [r[0] for r in stats.join(F.broadcast(picked), "doc_id").select("stats").limit(positives * 2).collect()]
-    u = [r[0] for r in hashed_sample(stats, "doc_id", min(1.0, unlabelled / max(1, n_all))).select("stats").limit(unlabelled * 2).collect()]
-    prior = (good + 1) / (n + 2) if good < n else None
-    return QualityModel(np.array(p, np.float32).reshape(-1, STATISTICS), np.array(u, np.float32).reshape(-1, STATISTICS), prior)
+    """A model of rows (doc_id, stats): positives are the trained rows labelled 1, unlabelled are all rows."""
+    marks = labels.filter(F.col("doc_id").isNotNull() & (F.col("quality") == 1) & trained).select("doc_id").distinct()
+    rows = lambda found: np.array([r.stats for r in found], np.float32).reshape(-1, STATISTICS)
+    p = rows(distinct_sample(stats.join(marks, "doc_id", "left_semi"), "stats", positives))
+    if not len(p):
+        return QualityModel()
+    each = F.array(*[F.percentile_approx(F.col("stats")[j], list(CUTS), 2000) for j in range(STATISTICS)])
+    model = QualityModel(np.array(stats.agg(each).first()[0], float))
+    u = rows(spread_sample(stats, "stats", unlabelled))
+    own, other = p[::2], p[1::2] if len(p) > 1 else p
+    first = QualityModel(model.edges).learn(own, u[::2], 0.5, rounds=200)
+    held = np.bincount(np.minimum((first.score(other) * LEVELS).astype(int), LEVELS - 1), minlength=LEVELS)
+    return model.learn(p, u, share_of_positives(_counts(stats, first), held))
 
 
 def score(stats: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
     """Columns ``keep`` with quality_score."""
+    keep = [c for c in keep if c.lower() != "quality_score"]
     shared = stats.sparkSession.sparkContext.broadcast(model)
 
     def make():
