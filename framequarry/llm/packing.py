@@ -1,12 +1,13 @@
 """Best-fit packing of token sequences with Martello-Toth dominance reduction.
 
 Documents become pieces of at most ``capacity`` tokens. Only the histogram of piece lengths (at most ``capacity``
-entries) goes to the driver, where the plan is made: first sets of one or two pieces that provably dominate every other
-set with the same largest piece are fixed, then the rest is placed best-fit, longest first. The plan speaks of the
+entries) goes to the driver, where the plan is made: first sets of one to three pieces that provably dominate every other
+set with the same piece are fixed, then the rest is placed best-fit, longest first. The plan speaks of the
 r-th piece of a length; ranks are dealt within (length, salt) groups, so that no length has to fit one task.
 
-Defined cases: a null or empty text is one piece holding the end token; rows with equal doc_id are packed one by one;
-an empty table gives no piece.
+Defined cases: a null or empty text is one piece holding the end token; a very long text is encoded whole and cut into
+pieces; rows with equal doc_id, repeated ones included, are packed one by one; an empty table gives no piece; columns of
+the input that bear the name of an added column are replaced by it.
 """
 
 from __future__ import annotations
@@ -139,14 +140,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, keep: list[str], capacity: int
 
 
 class Plan:
-    """Where the r-th piece of each length goes: runs of (length, first rank) to (sequence, pieces a sequence, offset)."""
+    """Where the r-th piece of each length goes: runs of (length, first rank) to (sequence, pieces a sequence, offset).
 
-    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY):
+    ``reduce`` off gives plain best fit, longest first. ``plan`` makes both and takes the one of fewer sequences.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, reduce: bool = True):
         self.capacity, self.sequences, self.fixed = capacity, 0, 0
         self.left = {n: c for n, c in counts.items() if c > 0}
         self.given: dict[int, int] = defaultdict(int)
         self.runs: list[tuple[int, int, int, int, int]] = []  # length, first rank, first sequence, pieces a sequence, offset
-        self._reduce()
+        if reduce:
+            self._reduce()
         self._best_fit()
         self.runs.sort()
 
@@ -157,40 +162,71 @@ class Plan:
         if not self.left[length]:
             del self.left[length]
 
-    def _fix(self, large: int, small: int | None, times: int) -> None:
-        self._place(large, times, self.sequences, 1, 0)
-        if small is not None:
-            self._place(small, times, self.sequences, 1, large)
+    def _fix(self, chosen: list[int]) -> None:
+        """Fix the set ``chosen`` of lengths as often as there are pieces for it."""
+        times = min(self.left[n] // chosen.count(n) for n in set(chosen))
+        at = 0
+        for n in chosen:
+            self._place(n, times, self.sequences, 1, at)
+            at += n
         self.sequences += times
         self.fixed += times
 
     def _reduce(self) -> None:
-        """Fix dominating sets: a piece that fills a sequence with one other or alone, or takes one other at most."""
-        for large in sorted(self.left, reverse=True):
-            free = self.capacity - large
-            if free in self.left and large in self.left:
-                both = self.left[large] // 2 if free == large else min(self.left[large], self.left[free])
-                if both:
-                    self._fix(large, free, both)
-        while self.left:
-            order = sorted(self.left)
-            large = order[-1]
-            free = self.capacity - large
-            if order[0] > free:
-                self._fix(large, None, self.left[large])
-                continue
-            two = order[0] * 2 if self.left[order[0]] > 1 else order[0] + (order[1] if len(order) > 1 else self.capacity)
-            if two <= free:
-                return  # three pieces fit together: no dominance by pairs
-            at = bisect.bisect_right(order, free) - 1
-            if at and order[at] == large and self.left[large] == 1:  # no other of its own length: the next smaller fits
-                at -= 1
-            small = order[at]
-            times = self.left[large] // 2 if small == large else min(self.left[large], self.left[small])
-            if not times:
-                self._fix(large, None, 1)
+        """Fix sets that dominate every other set with the same piece, until no piece has one.
+
+        Such a set can be taken first without using more sequences than the best plan does: what else might share a
+        sequence with that piece fits where the set's other pieces would have gone. As pieces only become fewer, a set that
+        dominates once does so until its own pieces run out.
+        """
+        found = True
+        while found:
+            found = False
+            for n in sorted(self.left, reverse=True):
+                while n in self.left and (chosen := self._dominant(n)):
+                    self._fix(chosen)
+                    found = True
+
+    def _dominant(self, own: int) -> list[int] | None:
+        """The set of one to three pieces that dominates all others with a piece of length ``own``, if there is one."""
+        free = self.capacity - own
+        if free <= 0:
+            return [own]
+        if free in self.left and (free != own or self.left[own] > 1):
+            return [own, free]  # full: whatever else were there fits into the other piece
+        others = sorted(n for n, c in self.left.items() if n <= free and (n != own or c > 1))
+        if not others:
+            return [own]
+        number = {n: self.left[n] - (n == own) for n in others}
+        small = [n for n in others[:3] for _ in range(min(3, number[n]))][:3]
+        largest = others[-1]
+        if len(small) < 2 or small[0] + small[1] > free:
+            return [own, largest]  # one other at most
+        if len(small) == 3 and sum(small) <= free:
+            return None  # three others may fit
+        if self._best_pair(others, number, free) <= largest:
+            return [own, largest]  # any two others that fit go where the largest one would
+        below = [n for n in others if n <= free - largest and (n != largest or number[n] > 1)]
+        if below:
+            more = [n for n in others if n > below[-1]]
+            pair = [n for n in more[:2] for _ in range(min(2, number[n]))][:2]
+            if len(pair) < 2 or sum(pair) > free:
+                return [own, largest, below[-1]]  # of two others one is at most the largest, one at most this
+        return None
+
+    @staticmethod
+    def _best_pair(lengths: list[int], number: dict[int, int], free: int) -> int:
+        """The largest sum of two pieces within ``free``, 0 if none."""
+        best, i, j = 0, 0, len(lengths) - 1
+        while i <= j:
+            total = lengths[i] + lengths[j]
+            if total > free:
+                j -= 1
             else:
-                self._fix(large, small, times)
+                if i < j or number[lengths[i]] > 1:
+                    best = max(best, total)
+                i += 1
+        return best
 
     def _best_fit(self) -> None:
         rooms: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room: runs of (first sequence, number)
@@ -228,6 +264,11 @@ class Plan:
         return tuple(table.T)
 
 
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """The plan of fewer sequences of those with and without the reduction; of equals the reduced one."""
+    return min((Plan(counts, capacity), Plan(counts, capacity, reduce=False)), key=lambda p: p.sequences)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None, capacity: int = CAPACITY, with_ids: bool = False, salts: int = SALTS) -> DataFrame:
     """The pieces of all documents with sequence_id and offset; sequences are numbered from 0 without gaps."""
     keep = ["doc_id"] if keep is None else [c for c in keep if c not in {"sequence_id", "offset"}]
@@ -236,8 +277,8 @@ def pack(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None, ca
     groups = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = materialise(groups.select("length", "salt", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "lengths")
-    plan = Plan({r.length: r.n for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
-    table = docs.sparkSession.sparkContext.broadcast(plan.arrays())
+    lengths = {r.length: r.n for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    table = docs.sparkSession.sparkContext.broadcast(plan(lengths, capacity).arrays())
     order = Window.partitionBy("length", "salt").orderBy(*[F.col(c) for c in keep], "piece", "start", "ids_crc32")
     ranked = cut.withColumn("rank", F.row_number().over(order)).join(groups.select("length", "salt", "before"), ["length", "salt"]).withColumn("rank", (F.col("rank") - 1 + F.col("before")).cast("long"))
     columns = [c for c in cut.columns if c != "salt"]
