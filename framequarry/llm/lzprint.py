@@ -7,12 +7,15 @@ set: the hash range is cut into BINS bins, of each the smallest phrase hash leav
 The likeness of two fingerprints is the share of equal bytes among the bins that are not empty in both.
 
 Defined cases: null and empty texts have no phrases (all bins empty) and are alike (1.0); equal texts have equal
-fingerprints; rows of equal doc_id follow each other by text; null doc_ids come first; an empty table gives no rows.
+fingerprints; very long texts are parsed whole; rows of equal doc_id follow each other in the order of their texts' hashes, so
+that they needn't share a task (rows that are equal as a whole do); null doc_ids come first; an empty table gives no rows;
+other columns of the input aren't read by ``edits``, and lz_fingerprint is replaced by ``fingerprints``.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -117,22 +120,26 @@ EDIT_FIELDS = T.StructType([
 
 
 def _dealt(docs: DataFrame, partitions: int) -> DataFrame:
-    """Rows (key, doc_id, text, guest) in ranges of doc_id, each followed by the first row of the next (guest).
+    """Rows (doc_id, text, guest) in ranges of doc_id, each followed by the first row of the next (guest).
 
-    The ranges are cut at quantiles of all doc_ids. The text is shuffled once; what the driver sees is one doc_id a range.
+    The ranges are cut at quantiles of all doc_ids; a doc_id that several quantiles fall on is cut into as many ranges by the
+    hash of the text. The text is shuffled once; what the driver sees is one key a range.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    least = -(1 << 63)
+    key, tie = F.coalesce(F.col("doc_id").cast("long"), F.lit(least)), F.xxhash64("text")
+    rows = docs.select(key.alias("key"), tie.alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     shares = [i / partitions for i in range(1, partitions)] or [0.5]
-    cuts = sorted(set(rows.agg(F.percentile_approx("key", shares, 10_000)).first()[0] or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), lambda c: c <= F.col("key")))
-    firsts = sorted((r.bucket, r.first) for r in rows.select("key", bucket.alias("bucket")).groupBy("bucket").agg(F.min("key").alias("first")).collect())
-    guests = spark.createDataFrame([(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)], "key long, host int")
-    sent = rows.withColumn("bucket", bucket).join(F.broadcast(guests), "key", "left")
+    times = Counter(rows.agg(F.percentile_approx("key", shares, 10_000)).first()[0] or [])
+    cuts = sorted((k, least + (j << 64) // n) for k, n in times.items() for j in range(n))
+    place = F.struct("key", "tie")
+    bucket = F.size(F.filter(F.array(*[F.struct(F.lit(k).cast("long").alias("key"), F.lit(t).cast("long").alias("tie")) for k, t in cuts]), lambda c: c <= place)) if cuts else F.lit(0)
+    firsts = sorted((r.bucket, tuple(r.first)) for r in rows.select(place.alias("place"), bucket.alias("bucket")).groupBy("bucket").agg(F.min("place").alias("first")).collect())
+    guests = spark.createDataFrame([(*first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)], "key long, tie long, host int")
+    sent = rows.withColumn("bucket", bucket).join(F.broadcast(guests), ["key", "tie"], "left")
     places = F.array_compact(F.array(F.struct(F.col("bucket").alias("to"), F.lit(0).alias("guest")), F.when(F.col("host").isNotNull(), F.struct(F.col("host").alias("to"), F.lit(1).alias("guest")))))
-    sent = sent.select("key", "doc_id", "text", F.explode(places).alias("p")).select("key", "doc_id", "text", "p.to", "p.guest")
-    return sent.repartitionById(len(cuts) + 1, "to").sortWithinPartitions("guest", "key", "text").select("doc_id", "text", "guest")
+    sent = sent.select("key", "tie", "doc_id", "text", F.explode(places).alias("p")).select("key", "tie", "doc_id", "text", "p.to", "p.guest")
+    return sent.repartitionById(len(cuts) + 1, "to").sortWithinPartitions("guest", "key", "tie", "text").select("doc_id", "text", "guest")
 
 
 def edits(docs: DataFrame) -> DataFrame:

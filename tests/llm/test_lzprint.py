@@ -3,6 +3,7 @@
 import hashlib
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from framequarry.llm import lzprint, queries
@@ -34,8 +35,14 @@ def like(a, b):
     return sum(x == y for x, y in some) / len(some) if some else 1.0
 
 
+def tie(text):
+    """The order of rows with equal doc_id: Spark's hash of the text."""
+    h = 42 if text is None else xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def check(rows, docs):
-    docs = sorted(docs, key=lambda d: (d[0] is not None, d[0], d[1] is not None, d[1] or ""))
+    docs = sorted(docs, key=lambda d: (d[0] is not None, d[0], tie(d[1])))
     want = []
     for i, (doc_id, text) in enumerate(docs):
         text, after = text or "", docs[(i + 1) % len(docs)][1] or ""
@@ -60,3 +67,11 @@ def test_odd_rows(spark, odd, empty):
     assert lzprint.fingerprints(odd).columns == [*odd.columns, "lz_fingerprint"]
     one = odd.filter("doc_id = 5").limit(1)
     assert lzprint.edits(one).first().near_next == 1.0
+
+
+def test_one_doc_id_of_many_rows(spark):
+    docs = [(7, f"text of row {i} " * 5) for i in range(200)] + [(i, f"row {i}") for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    check(lzprint.edits(df).collect(), docs)
+    parts = lzprint._dealt(df, 8).select(F.spark_partition_id().alias("p"), "doc_id").filter("doc_id = 7").groupBy("p").count().collect()
+    assert len(parts) > 4 and max(r["count"] for r in parts) < 80
