@@ -4,8 +4,12 @@ All benchmark items go into one automaton (word ids as symbols). A document's wo
 automaton always knows the longest suffix of what was read that occurs in some item. Where that suffix is at least as
 long as a window (``window`` words, or all words of a shorter item), the last words are a hit.
 
+An automaton holds at most about BLOCK_WORDS words, so what is broadcast is bounded; a larger benchmark is streamed block by
+block, each with its own pass over the texts.
+
 Defined cases: a null or wordless text has no words, hits or items; a null or wordless item has no window; items
-with equal texts are all reported; rows with equal doc_id are treated one by one; extra columns pass through
+with equal texts are all reported; very long texts are read whole; rows with equal doc_id are treated one by one; an empty
+table gives no rows, and an empty benchmark no hits; extra columns pass through
 ``decontaminate`` and are replaced where they bear the name of an added column.
 """
 
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framequarry.llm.common import map_texts, utf8, without
+from framequarry.session import materialise
 
 WINDOW = 10
 #: Words of benchmark items in one automaton; more items make more automata, each broadcast and streamed by itself.
@@ -160,17 +165,18 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Columns ``keep`` of docs with n_words, hit_spans (word numbers, stop exclusive) and hit_items (sorted)."""
     keep = [c for c in docs.columns if c != "text"] if keep is None else keep
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(SuffixAutomaton(b, window)) for b in blocks(benchmark, block_words)]
-    carried = [c for c in keep if c not in {f.name for f in _FIELDS}]
-    out = docs
-    for i, block in enumerate(shared or [None]):
-        first = i == 0
-        last = i >= len(shared) - 1
-        given = ["text"] if first else ["text", "n_words", "hit_spans", "hit_items"]
-
-        def make(block=block, first=first):
-            automaton = block.value if block else SuffixAutomaton([])
+    added = [f.name for f in _FIELDS]
+    carried = [c for c in keep if c.lower() not in added]
+    docs = without(docs, added)
+    waiting = blocks(benchmark, block_words)
+    block, following = next(waiting, []), next(waiting, None)
+    out, first = docs, True
+    while True:
+        last = following is None
+        shared = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window))
+
+        def make(shared=shared, first=first):
+            automaton = shared.value
 
             def work(texts: pa.Array, *before: pa.Array):
                 n, spans, items = [], [], []
@@ -187,8 +193,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list
 
             return work
 
-        out = map_texts(out, make, given, carried if last and "text" not in carried else [c for c in dict.fromkeys([*carried, "text"])], _FIELDS)
-    return out
+        given = ["text"] if first else ["text", *added]
+        out = map_texts(out, make, given, carried if last else list(dict.fromkeys([*carried, "text"])), _FIELDS)
+        if last:
+            return out
+        # written, so that only one block's automaton is held at a time
+        out = materialise(out, "scanned")
+        shared.destroy()
+        block, following, first = following, next(waiting, None), False
 
 
 def _cut(text: str, spans: list[dict]) -> str:
