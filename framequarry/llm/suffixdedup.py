@@ -16,7 +16,8 @@ before them.
    hashes instead, which spreads them over all tasks: the same result.
 
 Grams and contexts are known by pairs of 64-bit hashes. Defined cases: null and empty texts, and those of fewer bytes
-than ``MIN_BYTES``, have nothing removed; copies of a row count as other occurrences; rows of equal doc_id stay apart.
+than ``MIN_BYTES``, have nothing removed; very long texts are read whole; copies of a row count as other occurrences; rows of
+equal doc_id stay apart; an empty table gives no rows; columns k1, k2, z and spans of the input come back as nulls.
 """
 
 from __future__ import annotations
@@ -185,7 +186,8 @@ def _resolve(members: list[tuple[int, int, int, int, bytes, bytes, int]]) -> lis
         if valid.any():
             _, inverse = np.unique(r[valid] * (m + 1) + lo[valid], return_inverse=True)
             hit[valid, o] = np.bincount(inverse, weight[valid])[inverse] > 1.5
-    return [(x[1], x[2], _runs(np.flatnonzero(h))) for x, h in zip(members, hit, strict=True) if h.any()]
+    # contexts that occur twice are repeated as a whole anyway
+    return [(x[1], x[2], _runs(np.flatnonzero(h))) for x, h in zip(members, hit, strict=True) if x[3] == 1 and h.any()]
 
 
 def _runs(values: np.ndarray) -> list[dict]:
@@ -194,7 +196,7 @@ def _runs(values: np.ndarray) -> list[dict]:
 
 
 def _sorted_contexts(contexts: DataFrame, partitions: int) -> DataFrame:
-    """(g, u, runs) of contexts (g, u, n, before, suffix) whose gram has others: sort, front-code, exchange and merge."""
+    """(g, u, runs) of those contexts (g, u, n, before, suffix) that occur once and whose gram has others: sort, front-code, exchange and merge."""
     n = max(1, contexts.count())
     sample = contexts.filter(F.pmod("u", F.lit(1 << 20)) < min(1.0, SPLITTERS_FROM / n) * (1 << 20)).select(F.expr(f"substring(suffix, 1, {GRAM})").alias("s")).limit(2 * SPLITTERS_FROM)
     grams = sorted(bytes(r.s) for r in sample.collect())
@@ -269,7 +271,7 @@ def _counted_contexts(contexts: DataFrame) -> DataFrame:
 
     strings = materialise(contexts.dropDuplicates(["g", "u"]).mapInArrow(run, _STRINGS), "strings")
     repeated = materialise(strings.groupBy("o", "h1", "h2").agg(F.sum("n").alias("times")).filter("times > 1").select("o", "h1", "h2"), "repeated-strings")
-    kept = strings.join(repeated, ["o", "h1", "h2"], "left_semi").groupBy("g", "u").agg(F.collect_set("o").alias("os"))
+    kept = strings.filter("n = 1").join(repeated, ["o", "h1", "h2"], "left_semi").groupBy("g", "u").agg(F.collect_set("o").alias("os"))
     return kept.select("g", "u", F.transform(F.array_sort("os"), lambda o: F.struct(o.alias("first"), o.alias("last"))).alias("runs"))
 
 
@@ -287,13 +289,12 @@ def repeated_spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     classes = materialise(groups.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1"), "classes")
     contexts = materialise(_contexts(docs, groups.join(classes, "g").select("g", "u", "n", "m", "at.*")), "suffixes")
     columns = ["g", "u", "n", "before", "suffix"]
-    parts = materialise(_sorted_contexts(contexts.filter(F.col("m") <= crowd).select(*columns), partitions), "sorted")
+    parts = _sorted_contexts(contexts.filter(F.col("m") <= crowd).select(*columns), partitions)
     crowded = contexts.filter(F.col("m") > crowd).select(*columns)
     if crowded.limit(1).count():
         parts = parts.union(materialise(_counted_contexts(crowded), "counted"))
     whole = groups.filter("n > 1").select("g", "u", F.lit(None).cast(_FOUND["runs"].dataType).alias("runs"))
-    some = parts.join(groups.filter("n = 1").select("g", "u"), ["g", "u"], "left_semi").select("g", "u", "runs")
-    results = materialise(whole.union(some), "results")
+    results = materialise(whole.union(parts.select("g", "u", "runs")), "results")
     discard(contexts)
     hit = found.join(results, ["g", "u"])
     everything = F.array(F.struct((F.col("pos") - F.least("pos", F.lit(REACH))).alias("start"), (F.col("pos") + GRAM + F.col("behind")).cast("int").alias("stop")))
