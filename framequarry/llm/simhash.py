@@ -7,8 +7,12 @@ distance. Members of a wider signature are verified without making pairs: two fi
 some 64-bit value lies within one bit of both, so members meet at the values within one bit of them, each of which has
 at most 65 members. All links are kept; copies never meet each other as they share one distinct fingerprint.
 
-Defined cases: null and wordless texts have fingerprint zero and link like any other; rows with equal doc_id keep a row
-each; a null doc_id counts only if its component has no other; an empty table gives an empty result.
+Both size checks (BROADCAST_SIGNATURES) choose between plans of the same rows. Beyond some 2**31 distinct fingerprints chance
+makes nearly every signature wide; then all values within one bit are indexed, 65 rows more for each fingerprint.
+
+Defined cases: null and wordless texts have fingerprint zero and link like any other; very long texts are read whole; rows
+with equal doc_id keep a row each; a null doc_id counts only if its component has no other; an empty table gives an empty
+result; columns __row, fp, component_id and component of the input are replaced by the operator's.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framequarry.llm.common import map_texts, utf8
+from framequarry.llm.common import map_texts, utf8, without
 from framequarry.llm.graph import components
 from framequarry.session import materialise
 
@@ -84,7 +88,9 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle: int
 
     ``labels`` adds component, its smallest fingerprint, which is there for components without doc_id, too.
     """
-    keep = ["doc_id"] if keep is None else keep
+    added = ("fp", "component_id", "component")
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c.lower() not in added]
+    docs = without(docs, added)
     marked = materialise(fingerprints(docs, list(dict.fromkeys(["doc_id", *keep])), shingle), "simhash")
     fps = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     linked = components(links(fps)).withColumnsRenamed({"node": "fp"}).join(fps, "fp")
@@ -96,7 +102,7 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle: int
 
 def numbered_rows(docs: DataFrame) -> DataFrame:
     """``docs`` written with __row, a unique number that stays the same however often the table is read."""
-    return materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    return materialise(docs.withColumnRenamed("__row", "__input_row").withColumn("__row", F.monotonically_increasing_id()), "rows")
 
 
 def one_row_each(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -104,7 +110,9 @@ def one_row_each(rows: DataFrame, found: DataFrame) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
     best = found.groupBy("component").agg(F.min(key).alias("best")).select(F.col("best.__row").alias("__row"))
     lost = found.select("__row").join(best, "__row", "left_anti")  # mostly few
-    return rows.join(materialise(lost, "lost"), "__row", "left_anti")
+    lost = materialise(lost, "lost")
+    kept = rows.join(F.broadcast(lost) if lost.count() <= BROADCAST_SIGNATURES else lost, "__row", "left_anti").drop("__row")
+    return kept.withColumnRenamed("__input_row", "__row")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:

@@ -196,3 +196,53 @@ def test_plan_pairs_odd_counts():
     lengths = np.random.default_rng(3).choice(np.arange(690, 1025), 301, replace=False)
     assert packing.Plan({int(n): 1 for n in lengths}).sequences == 151
     assert packing.Plan({1000: 3, 900: 3, 700: 1}).sequences == 4
+    assert packing.Plan({1000: 3, 900: 3, 800: 3}).sequences == 5
+    assert packing.Plan({1020: 1, 1010: 1, 1001: 1, 999: 1}).sequences == 2
+
+
+def fewest(items, capacity):
+    """The least number of sequences, by trying all placements."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(rooms)
+            return
+        for room in {r for r in rooms if r >= items[i]}:
+            k = rooms.index(room)
+            place(i + 1, [*rooms[:k], room - items[i], *rooms[k + 1 :]])
+        place(i + 1, [*rooms, capacity - items[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_reduction_loses_no_sequence():
+    rng = np.random.default_rng(11)
+    for _ in range(400):
+        capacity = int(rng.integers(10, 30))
+        items = rng.integers(1, capacity + 1, int(rng.integers(1, 10))).tolist()
+        counts = {n: items.count(n) for n in set(items)}
+        plan = packing.Plan.__new__(packing.Plan)
+        plan.capacity, plan.sequences, plan.fixed, plan.left, plan.given, plan.runs = capacity, 0, 0, dict(counts), defaultdict(int), []
+        plan._reduce()
+        rest = [n for n, c in plan.left.items() for _ in range(c)]
+        assert plan.sequences + fewest(rest, capacity) == fewest(items, capacity)
+        assert packing.plan(counts, capacity).sequences <= packing.Plan(counts, capacity, reduce=False).sequences
+
+
+def test_plan_is_no_worse_than_best_fit():
+    rng = np.random.default_rng(0)
+    for low, high, n in ((600, 1101, 5000), (300, 900, 2000), (1, 2049, 5000), (5, 300, 3000)):
+        values, counts = np.unique(rng.integers(low, high, n), return_counts=True)
+        counts = {int(v): int(c) for v, c in zip(values, counts, strict=True)}
+        assert packing.plan(counts).sequences <= packing.Plan(counts, reduce=False).sequences
+
+
+def test_simhash_takes_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y", 3), (2, "a b c", "x", "y", 4)], "doc_id long, text string, fp string, component_id string, __row int")
+    rows = simhash.near_duplicates(docs, keep=["doc_id", "fp", "text"]).collect()
+    assert {r.component_id for r in rows} == {1} and len({r.fp for r in rows}) == 1
+    assert [tuple(r) for r in simhash.keep_representatives(docs).collect()] == [(1, "a b c", "x", "y", 3)]
