@@ -89,3 +89,13 @@ def spread_sample(df: DataFrame, value: str, n: int) -> list[Row]:
     chosen = counted.select("__h", times).filter("__times > 0").orderBy("__h").limit(2 * n)
     found = rows.join(F.broadcast(chosen), "__h").dropDuplicates(["__h"]).orderBy("__h").collect()
     return [r for r in found for _ in range(r["__times"])]
+
+
+def rows_of(df: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows of ``df`` whose key is among a hashed sample of about ``n`` of the distinct ``keys``, which is broadcast.
+
+    So the rows themselves aren't shuffled, however many they are.
+    """
+    total = keys.count()
+    chosen = hashed_sample(keys, key, min(1.0, n / max(1, total)))
+    return df.join(F.broadcast(chosen), key)

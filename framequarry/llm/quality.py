@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framequarry.llm.common import distinct_sample, map_texts, spread_sample, utf8
+from framequarry.llm.common import distinct_sample, map_texts, rows_of, spread_sample, utf8
 
 POSITIVES = 6000
 UNLABELLED = 12_000
@@ -160,7 +160,7 @@ def fit(stats: DataFrame, labels: DataFrame, trained: Column, positives: int = P
     """A model of rows (doc_id, stats): positives are the trained rows labelled 1, unlabelled are all rows."""
     marks = labels.filter(F.col("doc_id").isNotNull() & (F.col("quality") == 1) & trained).select("doc_id").distinct()
     rows = lambda found: np.array([r.stats for r in found], np.float32).reshape(-1, STATISTICS)
-    p = rows(distinct_sample(stats.join(marks, "doc_id", "left_semi"), "stats", positives))
+    p = rows(distinct_sample(rows_of(stats, marks, "doc_id", positives), "stats", positives))
     if not len(p):
         return QualityModel()
     each = F.array(*[F.percentile_approx(F.col("stats")[j], list(CUTS), 2000) for j in range(STATISTICS)])

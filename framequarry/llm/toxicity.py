@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framequarry.llm.common import distinct_sample, map_texts, without
+from framequarry.llm.common import distinct_sample, map_texts, rows_of, without
 
 TEXTS = 2500
 THRESHOLD = 0.3
@@ -303,8 +303,9 @@ def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float
 def fit(docs: DataFrame, labels: DataFrame, trained: Column | bool = True, texts: int = TEXTS) -> ToxicityModel:
     """A model of the labelled rows whose label's doc_id satisfies ``trained``, from at most ``texts`` distinct texts of a kind."""
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (F.lit(True) if trained is True else trained)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(marks, "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
-    picked = {kind: sorted(r.text for r in distinct_sample(rows.filter(F.col("toxic") == kind), "text", texts)) for kind in (0, 1)}
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = {kind: rows_of(docs.select("doc_id", text), marks.filter(F.col("toxic") == kind).select("doc_id"), "doc_id", texts) for kind in (0, 1)}
+    picked = {kind: sorted(r.text for r in distinct_sample(own, "text", texts)) for kind, own in rows.items()}
     return ToxicityModel(picked[1], picked[0])
 
 
