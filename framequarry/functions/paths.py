@@ -90,3 +90,12 @@ def image_source(source: Column | str) -> Column:
     body = F.regexp_replace(s, "^data:[^,]*,", "")
     kind = F.when(s.rlike("(?i)^https?://"), "url").when(s.rlike(r"^(?:/|\.{1,2}/|[A-Za-z]:)|\.(?i:jpe?g|png|webp|bmp|gif)$"), "path").otherwise("base64")
     return F.struct(kind.alias("kind"), F.when(kind == "base64", F.try_to_binary(body, F.lit("base64"))).alias("bytes"))
+
+
+# The columns of a record that hold paths.
+PATH_COLUMNS = ("path", "video_path", "frame_path", "embedding_path", "embedding_metadata_path", "image_path", "source_path")
+
+
+def portable_records(rows: DataFrame, root: str, columns: tuple[str, ...] = PATH_COLUMNS) -> DataFrame:
+    """Records with their path columns relative to ``root``; other columns stay."""
+    return rows.withColumns({c: make_portable(c, root) for c in columns if c in rows.columns})

@@ -71,9 +71,15 @@ def keep_frame(index: Column | str, width: Column | str, height: Column | str, v
     return (_c(index) % step == 0) & (F.least(_c(width), _c(height)) >= min_side)
 
 
-def fit_within(width: Column | str, height: Column | str, longest: int) -> Column:
-    """struct(width, height) scaled so that the longer side is at most ``longest``, at least 1."""
+def frame_time(index: Column | str, fps: float) -> Column:
+    """The time of a frame in seconds, to the millisecond; 0 where the rate isn't known."""
+    return F.bround(_c(index) / F.lit(float(fps)), 3) if fps > 0 else F.lit(0.0)
+
+
+def fit_within(width: Column | str, height: Column | str, longest: int, cut: bool = False) -> Column:
+    """struct(width, height) scaled so that the longer side is at most ``longest``, at least 1; rounded, or cut off."""
     w, h = _c(width), _c(height)
     scale = F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest(w, h))
-    side = lambda x: F.greatest(F.lit(1), F.bround(x * scale).cast("int"))
+    whole = F.floor if cut else F.bround
+    side = lambda x: F.greatest(F.lit(1), whole(x * scale).cast("int"))
     return F.struct(side(w).alias("width"), side(h).alias("height"))

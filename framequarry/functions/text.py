@@ -1,7 +1,8 @@
-"""Tokenising mixed CJK and ASCII text into search terms, as column expressions."""
+"""Tokenising mixed CJK and ASCII text into search terms: as column expressions, and for an index in Arrow batches."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -18,8 +19,8 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def normalize_text(text: Column | str, nfkc: bool = False) -> Column:
-    """White space collapsed and cut off the ends; NFKC, which Spark has no function for, on request (once, at ingest)."""
+def normalize_text(text: Column | str, nfkc: bool = True) -> Column:
+    """NFKC, white space collapsed and cut off the ends. Spark has no function for NFKC; without it all stays in the JVM."""
     text = F.col(text) if isinstance(text, str) else text
     if nfkc:
         text = _nfkc(text)
@@ -38,27 +39,75 @@ def _pieces(run: Column) -> Column:
     return F.when(ascii_run | (n == 1), whole).when(n <= 4, F.concat(F.array(run), F.filter(F.concat(grams(2), grams(3)), lambda g: g != run))).otherwise(F.concat(grams(2), grams(3)))
 
 
-def tokens(text: Column | str) -> Column:
-    """Ordered distinct terms: ASCII runs in lower case; CJK runs as a whole (up to 4), in pairs and in threes."""
-    runs = F.regexp_extract_all(normalize_text(text), F.lit(_RUN), F.lit(0))
+def tokens(text: Column | str, nfkc: bool = False) -> Column:
+    """Ordered distinct terms: ASCII runs in lower case; CJK runs as a whole (up to 4), in pairs and in threes.
+
+    The text is one that was normalised before, as all of the search path is, unless NFKC is asked for.
+    """
+    runs = F.regexp_extract_all(normalize_text(text, nfkc), F.lit(_RUN), F.lit(0))
     return F.array_distinct(F.flatten(F.transform(runs, _pieces)))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc_each(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda own: None if own is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in own])
+
+
+def _tags(tags: Column | str) -> Column:
+    """Normalised tags that aren't blank."""
+    tags = F.col(tags) if isinstance(tags, str) else tags
+    return F.filter(F.transform(_nfkc_each(tags), lambda t: normalize_text(t, nfkc=False)), lambda t: t != "")
+
+
 def tag_terms(tags: Column | str) -> Column:
     """For each tag the whole tag, then its tokens; ordered distinct."""
-    tags = F.col(tags) if isinstance(tags, str) else tags
-    each = F.transform(F.filter(F.transform(tags, lambda t: normalize_text(t)), lambda t: t != ""), lambda t: F.concat(F.array(F.lower(t)), tokens(t)))
+    each = F.transform(_tags(tags), lambda t: F.concat(F.array(F.lower(t)), tokens(t)))
     return F.array_distinct(F.flatten(each))
 
 
 def caption_terms(tags: Column, description: Column, caption: Column) -> Column:
     """Whole tags, then the tokens of the description, then of the caption; ordered distinct."""
-    whole = F.filter(F.transform(tags, lambda t: F.lower(normalize_text(t))), lambda t: t != "")
-    return F.array_distinct(F.concat(whole, tokens(description), tokens(caption)))
+    return F.array_distinct(F.concat(F.transform(_tags(tags), F.lower), tokens(description, nfkc=True), tokens(caption, nfkc=True)))
 
 
 def query_terms(text: Column | str, limit: int = QUERY_TERMS) -> Column:
     """The first tokens of a query; a query without any is one phrase; a blank one has no term."""
     whole = normalize_text(text)
-    found = F.slice(tokens(text), 1, limit)
+    found = F.slice(tokens(whole), 1, limit)
     return F.when(F.size(found) > 0, found).when(whole != "", F.array(F.lower(whole))).otherwise(F.array().cast("array<string>"))
+
+
+# ---- the same in Python, for whole documents at a time
+
+_RUNS = re.compile(_RUN)
+
+
+def plain(text: str | None) -> str:
+    return " ".join(unicodedata.normalize("NFKC", text or "").split())
+
+
+def words(text: str) -> dict[str, None]:
+    """``tokens`` of a plain text, as the keys of a dict in order."""
+    out: dict[str, None] = {}
+    for run in _RUNS.findall(text):
+        n = len(run)
+        if run[0] < "\x80":
+            out[run.lower()] = None
+        elif n == 1:
+            out[run] = None
+        else:
+            if n <= 4:
+                out[run] = None
+            for k in (2, 3):
+                for i in range(n - k + 1):
+                    out[run[i : i + k]] = None
+    return out
+
+
+def field_terms(tags: list[str | None] | None, description: str | None, caption: str | None) -> tuple[list[str], list[str], list[str]]:
+    """The terms of a document's three sparse fields; each text is normalised and read once."""
+    own = [t for t in map(plain, tags or ()) if t]
+    told, said = words(plain(description)), words(plain(caption))
+    lower = [t.lower() for t in own]
+    each = dict.fromkeys(x for t, w in zip(own, lower, strict=True) for x in (w, *words(t)))
+    return list(each), list(told), list(dict.fromkeys([*lower, *told, *said]))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _d(v: Column | str) -> Column:
@@ -33,10 +36,45 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+#: Groups whose sums a task holds before it sends them on.
+HELD_GROUPS = 20_000
+
+
 def vector_sum(df: DataFrame, keys: list[str], vector: str, weight: Column | None = None, mean: bool = False) -> DataFrame:
-    """The (weighted) sum or mean vector of each group, by position: one row for each key."""
-    e = df.select(*keys, (F.lit(1.0) if weight is None else weight).alias("__w"), F.posexplode(_d(vector)).alias("__i", "__x"))
-    value = F.sum(F.col("__x") * F.col("__w")) / (F.sum("__w") if mean else F.lit(1.0))
-    parts = e.groupBy(*keys, "__i").agg(value.alias("__v"))
-    joined = F.transform(F.array_sort(F.collect_list(F.struct("__i", "__v"))), lambda s: s["__v"])
-    return parts.groupBy(*keys).agg(joined.alias(vector))
+    """The (weighted) sum or mean vector of each group, by position: one row for each key; rows without a vector are left out.
+
+    Each task adds up its own vectors first, so what is shuffled is a vector for each group and task, not one for each row.
+    """
+    given = df.filter(F.col(vector).isNotNull()).select(*keys, (F.lit(1.0) if weight is None else weight).cast("double").alias("__w"), _d(vector).alias("__v"))
+    schema = T.StructType([*[given.schema[k] for k in keys], T.StructField("__w", T.DoubleType()), T.StructField("__v", T.ArrayType(T.DoubleType()))])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        code = rows.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(rows), np.int64)
+        first = np.unique(code, return_index=True)[1]
+        size = max(map(len, rows["__v"]))
+        values = np.array([np.pad(v, (0, size - len(v))) if len(v) < size else v for v in rows["__v"]], float)
+        sums = np.zeros((len(first), size))
+        np.add.at(sums, code, values)
+        out = rows.iloc[first][keys].copy()
+        out["__w"] = np.bincount(code, rows["__w"].to_numpy(float), len(first))
+        out["__v"] = list(sums)
+        return out
+
+    def run(batches):
+        held = None
+        for rows in batches:
+            if not len(rows):
+                continue
+            rows = rows.copy()
+            rows["__v"] = [np.asarray(v, float) * w for v, w in zip(rows["__v"], rows["__w"], strict=True)]
+            held = add(rows if held is None else pd.concat([held, add(rows)], ignore_index=True))
+            if len(held) > HELD_GROUPS:
+                yield held
+                held = None
+        if held is not None:
+            yield held
+
+    parts = given.mapInPandas(run, schema).groupBy(*keys).agg(F.sum("__w").alias("__w"), F.collect_list("__v").alias("__l"))
+    total = F.aggregate("__l", F.slice(F.element_at("__l", 1), 1, 0), lambda s, v: F.zip_with(s, v, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))))
+    by = F.col("__w") if mean else F.lit(1.0)
+    return parts.select(*keys, F.transform(total, lambda x: x / by).alias(vector))

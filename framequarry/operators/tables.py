@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---- filters
 
@@ -44,6 +45,14 @@ def should_skip(status: Column, overwrite: bool, retry_failed: bool) -> Column:
     return F.coalesce(status == "ok", F.lit(False)) | (status.isNotNull() & F.lit(not retry_failed))
 
 
+def should_caption(status: Column, force: bool = False, retry_failed: bool = False) -> Column:
+    """Whether an image is captioned: new and pending ones, interrupted ones; failed ones on request; all if forced."""
+    if force:
+        return F.lit(True)
+    known = F.coalesce(status, F.lit("pending"))
+    return F.when(known.isin("done", "caption_done"), False).when(known == "failed", F.lit(retry_failed)).otherwise(True)
+
+
 def structured(description: str, tags: str) -> Column:
     return (F.trim(F.coalesce(description, F.lit(""))) != "") & (F.size(F.coalesce(tags, F.array().cast("array<string>"))) > 0)
 
@@ -60,7 +69,7 @@ def select_videos(videos: DataFrame, key: str, ids: list[str] | None = None, fir
     """Whitelist, range of the trailing number, limit in key order, and only then those done before go."""
     from framequarry.functions.captions import video_index
 
-    out = videos if ids is None else videos.filter(F.col(key).isin(list(ids)))
+    out = videos if ids is None else videos.join(listed(videos, key, ids).select(key), key, "left_semi")
     if first is not None:
         out = out.filter(video_index(key) >= first)
     if last is not None:
@@ -80,6 +89,33 @@ def frames_with_parents(frames: DataFrame, segments: DataFrame, videos: DataFram
     return frames.join(segments, "segment_id").join(videos, "video_id")
 
 
+def listed(rows: DataFrame, key: str, ids: list) -> DataFrame:
+    """A list of keys as a table (key, pos), each with the place it first has in the list."""
+    schema = T.StructType([rows.schema[key], T.StructField("pos", T.IntegerType())])
+    return rows.sparkSession.createDataFrame([(k, i) for i, k in enumerate(dict.fromkeys(ids))], schema)
+
+
+def ordered_frames(frames: DataFrame, segments: DataFrame, videos: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """``frames_with_parents`` in the order of the video, the time and the frame; of given segments by time and frame alone."""
+    by = ["ts", "frame_index"] if only is not None else ["video_id", "ts", "frame_index"]
+    return frames_with_parents(frames, segments, videos, only).orderBy(*by)
+
+
+#: The rank of a representative segment without one.
+LAST_RANK = 999_999
+
+
+def segments_of(segments: DataFrame, videos: DataFrame, ids: list, representative: bool = False) -> DataFrame:
+    """The segments of the given videos with their video, in the order of the list, then of their start.
+
+    Representative ones only on request, then in the order of their rank; those without a rank come last.
+    """
+    if representative:
+        segments = segments.filter(F.coalesce("is_representative", F.lit(0)) == 1)
+    by = F.coalesce("representative_rank", F.lit(LAST_RANK)) if representative else F.col("start_time")
+    return segments.join(videos, "video_id").join(F.broadcast(listed(videos, "video_id", ids)), "video_id").orderBy("pos", by, "segment_id").drop("pos")
+
+
 def lookup(hits: DataFrame, records: DataFrame, key: str, path: str = "path", keep_misses: bool = True) -> DataFrame:
     """Hits with their records; a miss is dropped or keeps its key as its path."""
     if not keep_misses:
@@ -153,6 +189,31 @@ def merge(target: DataFrame, source: DataFrame, spec: MergeSpec, order: str | No
     return joined.select(*out)
 
 
+def update(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """A plain UPDATE: rows whose key has a change take all of its columns, nulls too; no row is added."""
+    given = [c for c in changes.columns if c not in keys]
+    return merge(target, changes, MergeSpec(tuple(keys), tuple(given), insert=False))
+
+
+def mark_captioning(images: DataFrame, ids: DataFrame) -> DataFrame:
+    """The images of ``ids`` (image_id) are being captioned; their last error goes."""
+    return update(images, ids.select("image_id", F.lit("captioning").alias("status"), F.lit(None).cast("string").alias("error_message")), ["image_id"])
+
+
+def mark_failed(images: DataFrame, failures: DataFrame, now: Column | None = None) -> DataFrame:
+    """The images of ``failures`` (image_id, error) failed; captions and vectors they have stay."""
+    when = [] if "updated_at" not in images.columns else [(F.current_timestamp() if now is None else now).cast(images.schema["updated_at"].dataType).alias("updated_at")]
+    return update(images, failures.select("image_id", F.lit("failed").alias("status"), F.col("error").alias("error_message"), *when), ["image_id"])
+
+
+def sync_records(target: DataFrame, records: DataFrame, spec: MergeSpec, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The target with the ok, tagged records merged in, and one row of counts (synced, skipped)."""
+    good = (F.col("status") == "ok") & structured("description", "tags")
+    counts = records.agg(F.count_if(good).alias("synced"), F.count_if(~F.coalesce(good, F.lit(False))).alias("skipped"))
+    wanted = set(target.columns) | set(spec.keys) | ({order} if order else set())
+    return merge(target, records.filter(good).select(*[c for c in records.columns if c in wanted]), spec, order), counts
+
+
 def delete_cascade(tables: dict[str, DataFrame], videos: DataFrame) -> dict[str, DataFrame]:
     """segments and frames without those of the given videos (video_id)."""
     gone = tables["segments"].join(videos.select("video_id"), "video_id", "left_semi").select("segment_id")
@@ -183,7 +244,8 @@ def sync_mode(new: DataFrame, indexed: DataFrame, key: str, exists: bool, force:
 
 # The stages of a video, in order, and what a reset of each takes with it.
 STAGES = ("segment", "frame_extract", "embedding", "topk")
-GLOBAL_STAGE = "faiss"
+GLOBAL_STAGE, GLOBAL_VIDEO = "faiss", "__global__"
+VIDEO_EVENTS = {"start": "processing", "complete": "done", "fail": "failed", "reset": "pending"}
 DOWNSTREAM = {s: STAGES[i:] for i, s in enumerate(STAGES)} | {GLOBAL_STAGE: (GLOBAL_STAGE,)}
 MAX_RETRY = 2
 
@@ -214,8 +276,38 @@ def task_action(status: str = "status", retries: str = "retry_count", most: str
 
 def reset_tasks(tasks: DataFrame, video_ids: list, stage: str) -> DataFrame:
     """The stage and those after it back to pending, without error; retries stay counted."""
-    hit = F.col("video_id").isin(list(video_ids)) & F.col("stage").isin(list(DOWNSTREAM[stage]))
-    return tasks.withColumns({"status": F.when(hit, "pending").otherwise(F.col("status")), "error_message": F.when(~hit, F.col("error_message"))})
+    chosen = listed(tasks, "video_id", video_ids).select("video_id", F.lit(True).alias("__hit"))
+    out = tasks.join(chosen, "video_id", "left")
+    hit = F.coalesce("__hit", F.lit(False)) & F.col("stage").isin(list(DOWNSTREAM[stage]))
+    return out.withColumns({"status": F.when(hit, "pending").otherwise(F.col("status")), "error_message": F.when(~hit, F.col("error_message"))}).select(*tasks.columns)
+
+
+def ensure_global_tasks(tasks: DataFrame) -> DataFrame:
+    """The ledger with the task that all videos share."""
+    spark = tasks.sparkSession
+    fresh = spark.createDataFrame([(f"{GLOBAL_VIDEO}:{GLOBAL_STAGE}", GLOBAL_VIDEO, GLOBAL_STAGE, "pending", MAX_RETRY, 0)], "task_id string, video_id string, stage string, status string, max_retry int, retry_count int")
+    return tasks.unionByName(fresh.join(tasks.select("task_id"), "task_id", "left_anti"), allowMissingColumns=True)
+
+
+def ensure_videos(videos: DataFrame, tasks: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Videos and tasks with those of ``found`` that aren't known yet, as pending; known ones stay as they are."""
+    fresh = found.join(videos.select("video_id"), "video_id", "left_anti")
+    if "status" in videos.columns and "status" not in found.columns:
+        fresh = fresh.withColumn("status", F.lit("pending"))
+    return videos.unionByName(fresh, allowMissingColumns=True), ensure_tasks(tasks, found)
+
+
+def mark_videos(videos: DataFrame, changes: DataFrame) -> DataFrame:
+    """Videos after (video_id, event, error): started ones are processing, completed done, failed failed with their message, reset pending."""
+    status = F.create_map(*[F.lit(x) for kv in VIDEO_EVENTS.items() for x in kv])
+    message = F.when(F.col("event") == "fail", F.col("error")).alias("error_message")
+    return update(videos, changes.select("video_id", F.element_at(status, F.col("event")).alias("status"), message), ["video_id"])
+
+
+def refresh_counts(results: DataFrame) -> DataFrame:
+    """One row (videos, refreshed, success, failed) of the (video_id, status) of a run."""
+    ok = F.col("status") == "ok"
+    return results.agg(F.countDistinct("video_id").alias("videos"), F.countDistinct(F.when(ok, F.col("video_id"))).alias("refreshed"), F.count_if(ok).alias("success"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("failed"))
 
 
 def video_state(tasks: DataFrame) -> DataFrame:

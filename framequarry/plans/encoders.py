@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable
+import json
+import os
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -17,6 +19,70 @@ class TextEncoder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+class ImageEncoder(Protocol):
+    def encode_images(self, images: list[bytes]) -> np.ndarray: ...
+
+
+class Instructed:
+    """An encoder that puts an instruction before queries, and none before documents."""
+
+    def __init__(self, inner: TextEncoder, instruction: str):
+        self.inner, self.instruction = inner, instruction
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        return self.inner.encode(texts)
+
+    def encode_query(self, texts: list[str]) -> np.ndarray:
+        return self.inner.encode([f"{self.instruction}{t}" for t in texts])
+
+
+def query_vectors(encoder: TextEncoder, texts: list[str]) -> np.ndarray:
+    """The vectors of queries: by the encoder's own way if it has one."""
+    return getattr(encoder, "encode_query", encoder.encode)(texts)
+
+
+def gram_codes(texts: list[str], low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all character n-grams of the texts (white space collapsed), and the number of the text each is from."""
+    plain = [" ".join((t or "").split()) for t in texts]
+    points = np.frombuffer("".join(plain).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(plain)), [len(t) for t in plain])
+    codes, owners = [], []
+    value = points * _MIX[0]
+    for n in range(2, high + 1):
+        if len(points) < n:
+            break
+        value = (value[:-1] ^ (value[:-1] >> np.uint64(29))) * _MIX[1] + points[n - 1 :]
+        if n >= low:
+            inside = owner[n - 1 :] == owner[: len(owner) - n + 1]
+            final = (value[inside] ^ (value[inside] >> np.uint64(32))) * _MIX[2]
+            codes.append(final ^ (final >> np.uint64(29)))
+            owners.append(owner[n - 1 :][inside])
+    if not codes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(codes), np.concatenate(owners)
+
+
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+#: Characters that are turned into n-grams at once.
+AT_ONCE = 1 << 20
+
+
+def _lots(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """The texts in lots of about AT_ONCE characters, each with the number of its first."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= AT_ONCE:
+            yield first, texts[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+
+
 class HashEncoder:
     """Character n-grams hashed with signs into a unit vector: deterministic, the same on every machine."""
 
@@ -25,36 +91,33 @@ class HashEncoder:
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
-        for row, text in zip(out, texts, strict=True):
-            text = " ".join((text or "").split())
-            for n in range(self.low, self.high + 1):
-                for i in range(len(text) - n + 1):
-                    h = zlib.crc32(text[i : i + n].encode())
-                    row[h % self.dim] += 1.0 if h & 0x80000000 else -1.0
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+        for first, lot in _lots(texts):
+            codes, owner = gram_codes(lot, self.low, self.high)
+            at = owner * self.dim + (codes % np.uint64(self.dim)).astype(np.int64)
+            sign = np.where(codes >> np.uint64(63), 1.0, -1.0)
+            out[first : first + len(lot)] = np.bincount(at, sign, len(lot) * self.dim).reshape(len(lot), self.dim)
+        return _unit(out)
 
 
 class SvdEncoder:
-    """Character n-gram TF-IDF (sublinear tf, smoothed idf) projected on its leading singular vectors."""
+    """Character n-gram TF-IDF (sublinear tf, smoothed idf) projected on its leading singular vectors.
 
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, components: np.ndarray):
-        self.vocabulary, self.idf, self.components = vocabulary, idf, components
+    N-grams are known by their 64-bit hashes; ``vocabulary`` holds them sorted.
+    """
 
-    @staticmethod
-    def _grams(text: str) -> list[str]:
-        text = " ".join((text or "").split())
-        return [text[i : i + n] for n in (2, 3, 4) for i in range(len(text) - n + 1)]
+    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, components: np.ndarray):
+        self.vocabulary, self.idf, self.components = vocabulary, idf, components
 
     @classmethod
     def fit(cls, docs: DataFrame, text: str, dim: int = 64, features: int = 20_000, rows: int = 2000, seed: int = 42) -> SvdEncoder:
         """The vocabulary and idf come from all documents; the projection from a sample of at most about ``rows`` of them."""
         grams = docs.select(F.explode(_gram_udf(F.col(text))).alias("g"))
         n = docs.count()
-        top = grams.groupBy("g").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "g").limit(features).collect()
-        vocabulary = {r.g: i for i, r in enumerate(top)}
-        idf = np.log((1 + n) / (1 + np.array([r.df for r in top], float))) + 1
-        sample = docs.filter(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < min(1.0, rows / max(1, n)) * (1 << 30)).select(text).limit(2 * rows).collect()
-        own = cls(vocabulary, idf, np.zeros((0, len(vocabulary))))
+        top = grams.groupBy("g").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "g").limit(features).toArrow()
+        codes, df = top.column("g").to_numpy().view(np.uint64), top.column("df").to_numpy()
+        by = np.argsort(codes)
+        sample = docs.filter(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < min(1.0, rows / max(1, n)) * (1 << 30)).select(text).orderBy(F.xxhash64(text)).limit(2 * rows).collect()
+        own = cls(codes[by], np.log((1 + n) / (1 + df[by].astype(float))) + 1, np.zeros((0, len(by))))
         matrix = own._tfidf([r[0] for r in sample])
         k = min(max(2, dim), max(1, matrix.shape[0] - 1), max(1, matrix.shape[1] - 1))
         rng = np.random.default_rng(seed)
@@ -66,23 +129,25 @@ class SvdEncoder:
         return own
 
     def _tfidf(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.vocabulary)))
-        for row, text in zip(out, texts, strict=True):
-            for g in self._grams(text):
-                if (i := self.vocabulary.get(g)) is not None:
-                    row[i] += 1
-        out[out > 0] = 1 + np.log(out[out > 0])
-        out *= self.idf
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+        width = len(self.vocabulary)
+        out = np.zeros((len(texts), width))
+        for first, lot in _lots(texts):
+            codes, owner = gram_codes(lot, 2, 4)
+            at = np.minimum(np.searchsorted(self.vocabulary, codes), max(0, width - 1))
+            known = self.vocabulary[at] == codes if width else np.zeros(len(codes), bool)
+            cell, count = np.unique(owner[known] * width + at[known], return_counts=True)
+            out[first + cell // max(1, width), cell % max(1, width)] = (1 + np.log(count)) * self.idf[cell % max(1, width)]
+        return _unit(out)
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.vstack([self._tfidf(texts[i : i + 256]) @ self.components.T for i in range(0, len(texts), 256)]) if texts else np.zeros((0, len(self.components)))
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+        parts = [self._tfidf(texts[i : i + 256]) @ self.components.T for i in range(0, len(texts), 256)]
+        return _unit(np.vstack(parts) if parts else np.zeros((0, len(self.components))))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _gram_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: sorted(set(SvdEncoder._grams(t))))
+    """The distinct n-grams of each text."""
+    return texts.map(lambda t: np.unique(gram_codes([t], 2, 4)[0]).view(np.int64))
 
 
 #: Encoders by the name of their backend.
@@ -95,6 +160,29 @@ def load_encoder(backend: str, **given) -> TextEncoder:
     return BACKENDS[backend](**given)
 
 
+def save_encoder(encoder: HashEncoder | SvdEncoder, folder: str) -> None:
+    """Arrays and a manifest (backend, model, dim) in a folder; ``restore_encoder`` reads them."""
+    os.makedirs(folder, exist_ok=True)
+    if isinstance(encoder, SvdEncoder):
+        np.savez(os.path.join(folder, "arrays.npz"), vocabulary=encoder.vocabulary, idf=encoder.idf, components=encoder.components)
+        manifest = {"backend": "local-svd", "dim": len(encoder.components)}
+    else:
+        manifest = {"backend": "hash", "dim": encoder.dim, "low": encoder.low, "high": encoder.high}
+    with open(os.path.join(folder, "manifest.json"), "w", encoding="utf-8") as f:
+        json.dump(manifest, f, indent=2)
+
+
+def restore_encoder(folder: str) -> TextEncoder:
+    with open(os.path.join(folder, "manifest.json"), encoding="utf-8") as f:
+        manifest = json.load(f)
+    if manifest["backend"] == "hash":
+        return HashEncoder(manifest["dim"], manifest["low"], manifest["high"])
+    if manifest["backend"] != "local-svd":
+        raise ValueError(f"unknown encoder backend: {manifest['backend']}")
+    with np.load(os.path.join(folder, "arrays.npz")) as a:
+        return SvdEncoder(a["vocabulary"], a["idf"], a["components"])
+
+
 def encode_column(text: Column | str, encoder: TextEncoder) -> Column:
     """A vector for each text, in Arrow batches; blank texts have none."""
 
@@ -111,8 +199,11 @@ def encode_column(text: Column | str, encoder: TextEncoder) -> Column:
     return encode(text)
 
 
-def caption_rows(rows: DataFrame, describe: Callable[[dict], str], columns: list[str], key: str, attempts: int = 1) -> DataFrame:
-    """(key, answer, error) of a captioning callable for each row, tried ``attempts`` times; failures become error rows."""
+def caption_rows(rows: DataFrame, describe: Callable[[dict], str], columns: list[str], key: str, attempts: int = 1, wait: float = 0.0, longest: float = 30.0) -> DataFrame:
+    """(key, answer, error) of a captioning callable for each row, tried ``attempts`` times; failures become error rows.
+
+    Before the n-th further attempt ``wait`` * 2 ** (n - 1) seconds pass, ``longest`` at most.
+    """
     schema = T.StructType([rows.schema[key], T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(batches):
@@ -120,7 +211,9 @@ def caption_rows(rows: DataFrame, describe: Callable[[dict], str], columns: list
             answers, errors = [], []
             for record in own.to_dict("records"):
                 answer = error = None
-                for _ in range(max(1, attempts)):
+                for n in range(max(1, attempts)):
+                    if n and wait:
+                        time.sleep(min(longest, wait * 2 ** (n - 1)))
                     try:
                         answer, error = describe(record), None
                         break

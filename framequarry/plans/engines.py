@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framequarry.config import HybridConfig, RetrievalConfig, fetch_k, validate_request
+from framequarry.config import HybridConfig, IndexConfig, RetrievalConfig, fetch_k, validate_request
 from framequarry.operators import bm25, fusion, greedy, pooling, tables, temporal, topk
-from framequarry.plans.encoders import TextEncoder, encode_column
-from framequarry.session import materialise
+from framequarry.plans.encoders import TextEncoder, encode_column, query_vectors
+from framequarry.session import materialise, spread
+from framequarry.sources.files import manifest
 
 
 @dataclass
@@ -73,6 +74,8 @@ class HybridEngine:
     def __post_init__(self) -> None:
         fields = bm25.term_fields(self.docs, self.key, F.col("tags"), F.col("description"), F.col("caption"))
         self.index = bm25.build(fields, self.key)
+        # searches read vectors, not texts, and don't encode anew
+        self.vectors = materialise(self.docs.select(self.key, "embedding").filter("embedding is not null"), "vectors")
 
     def sparse(self, text: str, limit: int) -> DataFrame:
         spark = self.docs.sparkSession
@@ -82,9 +85,9 @@ class HybridEngine:
 
     def dense(self, text: str, limit: int) -> DataFrame:
         spark = self.docs.sparkSession
-        vector = [float(x) for x in self.encoder.encode([text])[0]]
+        vector = [float(x) for x in query_vectors(self.encoder, [text])[0]]
         queries = spark.createDataFrame([(0, vector)], "query_id int, embedding array<double>")
-        hits = topk.inner_product_topk(self.docs, queries, limit, item=self.key)
+        hits = topk.inner_product_topk(self.vectors, queries, limit, item=self.key)
         return hits.select(self.key, F.col("score").alias("dense_score"), F.col("rank").alias("dense_rank"))
 
     def search(self, text: str, top_k: int = 10, sparse_top_k: int | None = None, dense_top_k: int | None = None, rrf_k: int | None = None) -> DataFrame:
@@ -93,8 +96,9 @@ class HybridEngine:
         fused = fusion.rrf_fuse(self.sparse(text, n_sparse), self.dense(text, n_dense), self.key, k)
         if not text.strip():
             fused = fused.limit(0)
-        best = fused.orderBy(*fusion.fused_order(self.key)).limit(top_k)
-        return best.join(self.docs.drop("embedding"), self.key, "left").orderBy(*fusion.fused_order(self.key))
+        best = materialise(fused.orderBy(*fusion.fused_order(self.key)).limit(top_k), "fused")
+        found = self.docs.drop("embedding").join(F.broadcast(best.select(self.key)), self.key, "left_semi")  # at most top_k
+        return best.join(found, self.key, "left").orderBy(*fusion.fused_order(self.key))
 
 
 def federated_search(engines: list[tuple[str, HybridEngine]], text: str, top_k: int = 10) -> DataFrame:
@@ -137,16 +141,59 @@ def dual_compare(left: DataFrame, right: DataFrame, key: str = "image_id") -> Da
     return a.join(b, key, "full_outer").withColumn("in_both", F.col("left_rank").isNotNull() & F.col("right_rank").isNotNull())
 
 
-def build_segments(frames: DataFrame, keys: tuple[str, str] = ("video_id", "segment_id")) -> DataFrame:
-    """Segments of frames (video_id, segment_id, frame_id, ts, embedding, norm): pooled vector, importance, genericness, representatives."""
+def build_segments(frames: DataFrame, keys: tuple[str, str] = ("video_id", "segment_id"), seconds: float | None = None) -> DataFrame:
+    """Segments of frames (video_id, segment_id, frame_id, ts, embedding, norm): pooled vector, importance, genericness, representatives.
+
+    A segment lasts from segment_start to segment_stop where frames have those, else ``seconds`` (the configured length).
+    """
+    seconds = IndexConfig().segment_seconds if seconds is None else seconds
+    bounds = {"segment_start", "segment_stop"} <= set(frames.columns)
+    length = F.col("segment_stop") - F.col("segment_start") if bounds else F.lit(float(seconds))
     own = list(keys)
     pooled = pooling.mean_pool(frames, own, "embedding")
-    scores = pooling.segment_importance(frames.withColumn("__len", F.lit(4.0)), own, "embedding", "norm", "ts", "__len")
+    scores = pooling.segment_importance(frames.withColumn("__len", length), own, "embedding", "norm", "ts", "__len")
     out = pooled.join(scores, own).join(pooling.genericness(pooled, "segment_id", "embedding"), "segment_id")
     chosen = greedy.representatives(out, ["video_id"], "segment_id", "importance", "genericness", "embedding")
     return out.join(chosen.withColumnRenamed("rank", "representative_rank"), own, "left").withColumn("is_representative", F.col("representative_rank").isNotNull().cast("int"))
 
 
+def refresh_representatives(segments: DataFrame) -> DataFrame:
+    """Segments with genericness taken anew over all of them, and the representatives of each video chosen anew."""
+    own = segments.drop("genericness", "representative_rank", "is_representative")
+    out = own.join(pooling.genericness(own, "segment_id", "embedding"), "segment_id", "left")
+    chosen = greedy.representatives(out, ["video_id"], "segment_id", "importance", "genericness", "embedding")
+    out = out.join(chosen.withColumnRenamed("rank", "representative_rank"), ["video_id", "segment_id"], "left")
+    return out.withColumn("is_representative", F.col("representative_rank").isNotNull().cast("int"))
+
+
+def index_tables(frames: DataFrame, segments: DataFrame) -> dict[str, DataFrame]:
+    """The three vector indexes (item_id, embedding): of frames, of segments, and of videos' representative segments (video::segment)."""
+    vector = F.col("embedding").isNotNull()
+    item = F.concat_ws("::", F.col("video_id").cast("string"), "segment_id").alias("item_id")
+    return {
+        "vectors_frame": frames.filter(vector).select(F.col("frame_id").cast("string").alias("item_id"), "embedding"), "vectors_segment": segments.filter(vector).select(F.col("segment_id").alias("item_id"), "embedding"),
+        "vectors_video": segments.filter(vector & (F.coalesce("is_representative", F.lit(0)) == 1)).select(item, "embedding"),
+    }
+
+
+def representations(segments: DataFrame) -> DataFrame:
+    """Stored segments as a build hands them on: the segment's norm is its norm score."""
+    score = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return segments.select("video_id", "segment_id", "embedding", F.coalesce("embedding_norm", F.lit(0.0)).alias("embedding_norm_score"), *[score(c) for c in ("importance_score", "motion_score", "visual_diversity_score", "genericness_score") if c in segments.columns])
+
+
+def refresh_documents(docs: DataFrame, encoder: TextEncoder, text: Column, captioned: str = "caption_updated_at", embedded: str = "embedding_updated_at", now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents with the vectors of stale and new ones encoded anew, and one row about the build.
+
+    Only those rows are encoded; the others keep their vector and its time.
+    """
+    stale, fresh = stale_or_new(docs, F.col("embedding").isNotNull(), captioned, embedded)
+    when = (F.current_timestamp() if now is None else now).cast(docs.schema[embedded].dataType)
+    encoded = materialise(embed_documents(stale.drop("embedding"), encoder, text).withColumn(embedded, when).select(*docs.columns), "encoded")
+    encoded = encoded.withColumn("embedding", F.col("embedding").cast(docs.schema["embedding"].dataType.simpleString()))
+    return fresh.unionByName(encoded), manifest(docs, encoded, "full" if encoded.limit(1).count() else "noop", 0)
+
+
 def stale_or_new(docs: DataFrame, has_vector: Column, captioned: str, embedded: str) -> tuple[DataFrame, DataFrame]:
     """Rows that need encoding, and those that don't."""
     need = ~has_vector | F.coalesce(F.col(captioned) > F.col(embedded), F.lit(False))
@@ -154,4 +201,4 @@ def stale_or_new(docs: DataFrame, has_vector: Column, captioned: str, embedded:
 
 
 def embed_documents(docs: DataFrame, encoder: TextEncoder, text: Column) -> DataFrame:
-    return docs.withColumn("embedding", encode_column(text, encoder))
+    return spread(docs).withColumn("embedding", encode_column(text, encoder))

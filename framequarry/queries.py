@@ -54,10 +54,16 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("frame_id"), F.col("label").alias("video_id"), "embedding", "rn", (F.col("rn") * 0.5).alias("ts"), paths.segment_id("label", F.floor(F.col("rn") / 8)).alias("segment_id"), (1 + (F.col("vec_id") % 7) / 10.0).alias("norm"))
 
 
-def some_queries(spark: SparkSession, sf: str, n: int = 20) -> DataFrame:
+def some_queries(spark: SparkSession, sf: str, n: int) -> DataFrame:
+    """The first n vectors, as the query vectors of one request."""
     return table(spark, sf, "embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def batch_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The stated query set of searches: each row whose id is divisible by 50."""
+    return table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 def items(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("label").cast("long").alias("label"), "embedding")
 
@@ -65,17 +71,18 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 # ---- vectors
 
 
-@query("""SELECT item_id, round(score, 6) AS score FROM (SELECT b.vec_id AS item_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score
- FROM embeddings a, embeddings b WHERE a.vec_id = 3 ORDER BY score DESC, b.vec_id LIMIT 10)""")
+@query("""SELECT query_id, item_id, round(score, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score,
+ row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) WHERE rank <= 1""")
 def vec_topk(spark, sf):
-    q = table(spark, sf, "embeddings").filter("vec_id = 3").select(F.col("vec_id").alias("query_id"), "embedding")
-    return topk.inner_product_topk(items(spark, sf), q, 10).select("item_id", r6("score").alias("score"))
+    """The best item of each query, itself."""
+    return topk.inner_product_topk(items(spark, sf), batch_queries(spark, sf), 1).select("query_id", "item_id", r6("score").alias("score"))
 
 
 @query("""SELECT query_id, item_id, round(score, 6) AS score, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score,
- row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id < 20) WHERE rank <= 10""")
+ row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) WHERE rank <= 10""")
 def vec_topk_multi(spark, sf):
-    return topk.inner_product_topk(items(spark, sf), some_queries(spark, sf), 10).select("query_id", "item_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+    found = topk.inner_product_topk(items(spark, sf), batch_queries(spark, sf), 10)
+    return found.select("query_id", "item_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(list_zip(v, v2), lambda p: p[1] * p[2])), 6) AS dot, round(sqrt(list_inner_product(v, v)), 6) AS norm FROM (
@@ -243,14 +250,15 @@ def bm25_search_batch(spark, sf):
 
 # ---- fusion
 
-LISTS = """a AS (SELECT l_orderkey AS k, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS sr, l_extendedprice AS ss FROM (SELECT * FROM lineitem WHERE l_linenumber = 1) ORDER BY sr LIMIT 100),
- b AS (SELECT l_orderkey AS k, row_number() OVER (ORDER BY l_quantity DESC, l_orderkey) AS dr, l_quantity AS ds FROM (SELECT * FROM lineitem WHERE l_linenumber = 1) ORDER BY dr LIMIT 100)"""
+LISTS = """o AS (SELECT l_orderkey AS k, max(l_extendedprice) AS price, max(l_quantity * l_discount) AS quantity FROM lineitem GROUP BY 1),
+ a AS (SELECT k, row_number() OVER (ORDER BY price DESC, k) AS sr, price AS ss FROM o ORDER BY sr LIMIT 100), b AS (SELECT k, row_number() OVER (ORDER BY quantity DESC, k) AS dr, quantity AS ds FROM o ORDER BY dr LIMIT 100)"""
 
 
 def two_lists(spark, sf):
-    rows = table(spark, sf, "lineitem").filter("l_linenumber = 1").withColumnRenamed("l_orderkey", "video_id")
-    a = topk.rank_list(rows, [F.desc("l_extendedprice"), F.asc("video_id")], 100, "sparse_rank").select("video_id", "sparse_rank", F.col("l_extendedprice").alias("sparse_score"))
-    b = topk.rank_list(rows, [F.desc("l_quantity"), F.asc("video_id")], 100, "dense_rank").select("video_id", "dense_rank", F.col("l_quantity").alias("dense_score"))
+    """Orders by their dearest line, and by their largest discounted quantity, over all lines."""
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("video_id")).agg(F.max("l_extendedprice").alias("sparse_score"), F.max(F.col("l_quantity") * F.col("l_discount")).alias("dense_score"))
+    a = topk.rank_list(rows, [F.desc("sparse_score"), F.asc("video_id")], 100, "sparse_rank").select("video_id", "sparse_rank", "sparse_score")
+    b = topk.rank_list(rows, [F.desc("dense_score"), F.asc("video_id")], 100, "dense_rank").select("video_id", "dense_rank", "dense_score")
     return a, b
 
 
@@ -387,16 +395,31 @@ def dedup_md5(spark, sf):
     return greedy.first_per_content(d, "md5", "n_chars", "doc_id").select("doc_id", "source")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT * FROM (SELECT a.vec_id AS q, b.vec_id AS i, b.embedding::DOUBLE[] AS e, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s,
+ row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) WHERE r <= 250),
+ k AS (SELECT q, r, true AS taken, 1 AS rank, i, s, [e] AS kept FROM c WHERE r = 1 UNION ALL
+ SELECT q, r, ok, rank + ok::INT, i, s, CASE WHEN ok THEN list_append(kept, e) ELSE kept END FROM (SELECT k.q, c.r, c.i, c.s, c.e, k.rank, k.kept,
+ k.rank < 50 AND len(list_filter(k.kept, lambda v: list_inner_product(v, c.e) >= 0.3)) = 0 AS ok FROM k JOIN c ON k.q = c.q AND c.r = k.r + 1))
+ SELECT q AS query_id, i AS item_id, round(s, 6) AS score, rank::BIGINT AS rank FROM k WHERE taken""")
 def dedup_embedding(spark, sf):
-    hits = topk.inner_product_topk(items(spark, sf), some_queries(spark, sf, 5), 250).join(items(spark, sf).select("item_id", "embedding"), "item_id")
-    return greedy.suppress_near(hits, ["query_id"], "item_id", "score", "embedding", 0.3, 50)
-
-
-@query()
+    hits = topk.inner_product_topk(items(spark, sf), batch_queries(spark, sf), 250).join(items(spark, sf).select("item_id", "embedding"), "item_id")
+    kept = greedy.suppress_near(hits, ["query_id"], "item_id", "score", "embedding", 0.3, 50)
+    return kept.select("query_id", "item_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, {POOLED}, n AS (SELECT count(*) AS n FROM pooled), gen AS (SELECT a.segment_id, (sum(list_inner_product(a.e, b.e)) - 1) / (SELECT n FROM n) AS g FROM pooled a, pooled b GROUP BY 1),
+ im AS (SELECT segment_id, avg(norm) AS nm, CASE WHEN count(*) <= 1 THEN 0 ELSE least(1, (max(ts) - min(ts)) / 4.0) END AS cov FROM frames GROUP BY 1),
+ dv AS (SELECT a.segment_id, avg(1 - list_inner_product(a.e, b.e)) AS d FROM frames a JOIN frames b ON a.segment_id = b.segment_id AND a.frame_id < b.frame_id GROUP BY 1),
+ seg AS (SELECT p.video_id, p.segment_id, p.e, nm + 0.2 * cov + coalesce(d, 0) - 0.35 * g AS base FROM pooled p JOIN gen USING (segment_id) JOIN im USING (segment_id) LEFT JOIN dv USING (segment_id)),
+ k AS (SELECT video_id, 0 AS step, NULL::VARCHAR AS last, []::VARCHAR[] AS chosen, []::DOUBLE[][] AS vecs FROM (SELECT DISTINCT video_id FROM seg) UNION ALL
+ SELECT video_id, step + 1, arg_max(segment_id, (score, -no)), list_append(any_value(chosen), arg_max(segment_id, (score, -no))), list_append(any_value(vecs), arg_max(e, (score, -no))) FROM
+ (SELECT k.video_id, k.step, k.chosen, k.vecs, s.segment_id, s.e, CAST(substr(s.segment_id, -4) AS INT) AS no, s.base - 0.25 * coalesce(list_max(list_transform(k.vecs, lambda v: list_inner_product(v, s.e))), 0) AS score
+ FROM k JOIN seg s ON k.video_id = s.video_id AND NOT list_contains(k.chosen, s.segment_id) WHERE k.step < 8) GROUP BY video_id, step)
+ SELECT video_id::BIGINT AS video_id, last AS segment_id, step::BIGINT AS rank FROM k WHERE step > 0""")
 def mmr_representatives(spark, sf):
     s = engines.build_segments(frames(spark, sf))
-    return greedy.representatives(s.drop("rank"), ["video_id"], "segment_id", "importance", "genericness", "embedding")
+    found = greedy.representatives(s.drop("rank"), ["video_id"], "segment_id", "importance", "genericness", "embedding")
+    return found.select(F.col("video_id").cast("long").alias("video_id"), "segment_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query()
@@ -404,10 +427,13 @@ def kmeans_frame_select(spark, sf):
     return greedy.select_frames(frames(spark, sf), ["segment_id"], "frame_id", "embedding", "norm", "ts", IndexConfig(dedupe_threshold=0.3))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+ k AS (SELECT user_id, 0 AS pos, event_id, value, r FROM e WHERE r = 1 UNION ALL
+ SELECT k.user_id, k.pos + 1, arg_min(e.event_id, e.r), arg_min(e.value, e.r), min(e.r) FROM k JOIN e ON k.user_id = e.user_id AND e.r > k.r AND abs(e.value - k.value) / 255.0::DOUBLE >= 30.0::DOUBLE / 255.0::DOUBLE WHERE k.pos < 15 GROUP BY k.user_id, k.pos)
+ SELECT user_id, pos, event_id FROM k""")
 def scene_changes(spark, sf):
     rows = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("idx"), F.array("value").alias("sig")))).alias("s"))
-    return rows.select("user_id", F.posexplode(greedy.scene_changes(F.col("s"), 30.0, 4)).alias("pos", "event_id"))
+    return rows.select("user_id", F.posexplode(greedy.scene_changes(F.col("s"), 30.0 / 255.0, 4, 255.0)).alias("pos", "event_id"))
 
 
 @query("SELECT n, k, CASE WHEN n <= 0 OR k <= 0 THEN 0 ELSE least(n, greatest(k, 5 * k, k + 40)) END AS fetch_k FROM (SELECT unnest([0, 5, 30, 60, 1000]) AS n), (SELECT unnest([0, 1, 10, 50]) AS k)")
@@ -419,9 +445,9 @@ def fetch_k_table(spark, sf):
 # ---- joins and filters
 
 
-@query("""SELECT o.o_orderkey, l.l_linenumber, c.c_custkey, c.c_name FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey WHERE l.l_quantity > 45""")
+@query("""SELECT o.o_orderkey, l.l_linenumber, c.c_custkey, c.c_name FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey""")
 def join_frames_segments_videos(spark, sf):
-    f = table(spark, sf, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("segment_id"), "l_linenumber")
+    f = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("segment_id"), "l_linenumber")
     s = table(spark, sf, "orders").select(F.col("o_orderkey").alias("segment_id"), F.col("o_custkey").alias("video_id"))
     v = table(spark, sf, "customer").select(F.col("c_custkey").alias("video_id"), "c_name")
     return tables.frames_with_parents(f, s, v).select(F.col("segment_id").alias("o_orderkey"), "l_linenumber", F.col("video_id").alias("c_custkey"), "c_name")
@@ -551,7 +577,7 @@ def json_extract_first(spark, sf):
     return table(spark, sf, "events").select("event_id", captions.first_json_object(F.concat(F.lit("```json\nnote "), F.col("props"), F.lit(" end\n```"))).alias("json"))
 
 
-@query()
+@query("SELECT event_id, array_to_string(['a', event_type], ',') AS tags, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'd' END AS description, CASE WHEN event_id % 3 = 0 THEN 'no description' END AS error FROM events")
 def caption_parse(spark, sf):
     answer = F.concat(F.lit('```json\n{"tags": ["a", "'), F.col("event_type"), F.lit('"], "description": "'), F.when(F.col("event_id") % 3 == 0, "").otherwise("d"), F.lit('"}\n```'))
     return table(spark, sf, "events").select("event_id", captions.parse_video_caption(answer).alias("p")).select("event_id", F.array_join("p.tags", ",").alias("tags"), "p.description", "p.error")
@@ -599,12 +625,50 @@ def picture_search(spark, sf):
     return engines.PictureEngine(images).search(q, 10).select("image_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+class Stored:
+    """An encoder that gives one vector to whatever text."""
+
+    def __init__(self, vector: list[float]):
+        self.vector = vector
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        return [self.vector for _ in texts]
+
+
+def with_vectors(spark, sf) -> tuple[DataFrame, Stored]:
+    """Documents with the vector of their number, if there is one; queries have that of number 3."""
+    e = table(spark, sf, "embeddings")
+    docs = search_docs(spark, sf).join(e.select(F.col("vec_id").alias("video_id"), "embedding"), "video_id", "left")
+    return docs, Stored([float(x) for x in e.filter("vec_id = 3").first().embedding])
+
+
+@query(f"""WITH {POSTINGS}, q AS (SELECT 0 AS qid, unnest(['the', 'thing', 'of', 'that', 'src3']) AS t), {BM25}, a AS (SELECT doc_id AS k, s AS ss, row_number() OVER (ORDER BY s, doc_id) AS sr FROM hits ORDER BY sr LIMIT 100),
+ d AS (SELECT vec_id, list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)) AS ds FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)), b AS (SELECT vec_id AS k, ds, row_number() OVER (ORDER BY ds DESC, vec_id) AS dr FROM d ORDER BY dr LIMIT 100),
+ fu AS (SELECT coalesce(a.k, b.k) AS video_id, sr, dr, ds, coalesce(1.0::DOUBLE / (60 + sr), 0) + coalesce(1.0::DOUBLE / (60 + dr), 0) AS score FROM a FULL JOIN b ON a.k = b.k)
+ SELECT video_id, round(score, 6) AS score, sr::BIGINT AS sparse_rank, dr::BIGINT AS dense_rank FROM fu ORDER BY fu.score DESC, coalesce(nullif(ds, 0), -1), coalesce(sr, 10000) DESC, video_id LIMIT 10""")
 def hybrid_search(spark, sf):
-    out = engines.HybridEngine(search_docs(spark, sf, embed=True), HashEncoder()).search("the thing of that src3", 10)
+    out = engines.HybridEngine(*with_vectors(spark, sf)).search("the thing of that src3", 10)
     return out.select("video_id", r6("score").alias("score"), F.col("sparse_rank").cast("long").alias("sparse_rank"), F.col("dense_rank").cast("long").alias("dense_rank"))
 
 
+@query("SELECT doc_id, (trim(text) <> '')::BOOLEAN AS has_vector, CASE WHEN trim(text) <> '' THEN 1.0::DOUBLE END AS norm FROM documents")
+def encode_documents(spark, sf):
+    """Vectors of all texts by the hash encoder, known by their norms."""
+    d = engines.embed_documents(table(spark, sf, "documents"), HashEncoder(), F.col("text"))
+    return d.select("doc_id", F.col("embedding").isNotNull().alias("has_vector"), F.round(vector.norm("embedding"), 6).alias("norm"))
+
+
+# Full-width letters, a ligature, CJK runs of one, two and six characters: what normalisation and the runs' pieces must give.
+WIDE = [(1, "ＡＢＣ ﬁne 猫", "abc fine 猫"), (2, "視頻檢索系統 demo", "視頻 頻檢 檢索 索系 系統 視頻檢 頻檢索 檢索系 索系統 demo"), (3, "猫犬 ①２", "猫犬 12"), (4, "  ", "")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{want}', '{want}')" for i, _, want in WIDE) + ") t(id, terms, indexed)")
+def tok_wide(spark, sf):
+    d = spark.createDataFrame([r[:2] for r in WIDE], "id int, text string")
+    fields = bm25.term_fields(d, "id", F.array().cast("array<string>"), F.col("text"), F.lit(None).cast("string"))
+    return d.select("id", F.array_join(X.tokens("text", nfkc=True), " ").alias("terms")).join(fields.select("id", F.col("description_terms").alias("indexed")), "id")
+
+
 # ---- selection, maintenance and small set operators
 
 
@@ -673,7 +737,12 @@ def resize_dims(spark, sf):
     return table(spark, sf, "part").select("p_partkey", sampling.fit_within(F.col("p_size") * 40, F.lit(480), 640).alias("d")).select("p_partkey", "d.width", "d.height")
 
 
-@query()
+SPREAD = "list_transform(range({k}), lambda i: {l}[round_even(i * (len({l}) - 1) / ({k} - 1)::DOUBLE, 0)::INT + 1])"
+
+
+@query(f"""WITH s AS (SELECT user_id, list_sort(list_distinct(list(trunc(value * 3)::INT))) AS s FROM events GROUP BY 1), f AS (SELECT list_transform(range(8), lambda i: round_even(i * 299 / 7::DOUBLE, 0)::INT) AS whole, list_transform(range(4), lambda i: round_even(i * 299 / 3::DOUBLE, 0)::INT) AS even),
+ x AS (SELECT *, list_filter(s, lambda v: NOT list_contains(even, v)) AS e FROM s, f), m AS (SELECT user_id, whole, list_sort(list_distinct(list_concat(even, CASE WHEN len(e) <= 4 THEN e ELSE {SPREAD.format(k=4, l='e')} END))) AS m FROM x),
+ p AS (SELECT user_id, CASE WHEN len(m) < 8 THEN list_sort(list_distinct(list_concat(m, whole))) ELSE m END AS p FROM m) SELECT user_id, array_to_string(CASE WHEN len(p) <= 8 THEN p ELSE {SPREAD.format(k=8, l='p')} END, ',') AS frames FROM p""")
 def keyframe_choice(spark, sf):
     e = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_set((F.col("value") * 3).cast("int"))).alias("s"))
     return e.select("user_id", F.array_join(sampling.keyframes(F.lit(300), 8, F.col("s")), ",").alias("frames"))
@@ -696,3 +765,103 @@ def binary_functions(spark, sf):
 def display_text(spark, sf):
     e = table(spark, sf, "events")
     return e.select("event_id", F.concat_ws(" | ", F.filter(F.array("event_type", F.lit(""), "props"), lambda x: x != "")).alias("line"), captions.filled(F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(" "), F.lit("caption")).alias("source_text"))
+
+
+# ---- ordered joins, status flows, index tables
+
+
+@query("""SELECT row_number() OVER (ORDER BY k.pos, o.o_totalprice, o.o_orderkey::VARCHAR) - 1 AS pos, o.o_orderkey AS segment_id, c.c_name AS name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+ JOIN (SELECT unnest([71, 4, 128, 13]) AS id, unnest([0, 1, 2, 3]) AS pos) k ON c.c_custkey = k.id""")
+def segments_in_order(spark, sf):
+    """The orders of some customers, as the segments of some videos: in the order of the list, then of their start."""
+    s = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("segment_id"), F.col("o_custkey").alias("video_id"), F.col("o_totalprice").alias("start_time"))
+    v = table(spark, sf, "customer").select(F.col("c_custkey").alias("video_id"), F.col("c_name").alias("name"))
+    rows = tables.segments_of(s, v, [71, 4, 128, 13, 4]).collect()  # those of four videos
+    return spark.createDataFrame([(i, int(r.segment_id), r["name"]) for i, r in enumerate(rows)], "pos long, segment_id long, name string")
+
+
+@query("""SELECT row_number() OVER (ORDER BY k.pos, CASE WHEN o.o_orderkey % 3 = 0 THEN 999999 ELSE o.o_orderkey % 7 END, o.o_orderkey::VARCHAR) - 1 AS pos, o.o_orderkey AS segment_id FROM orders o
+ JOIN (SELECT unnest([71, 4, 128, 13]) AS id, unnest([0, 1, 2, 3]) AS pos) k ON o.o_custkey = k.id WHERE o.o_orderkey % 2 = 0""")
+def representatives_in_order(spark, sf):
+    key = F.col("o_orderkey")
+    s = table(spark, sf, "orders").select(key.cast("string").alias("segment_id"), F.col("o_custkey").alias("video_id"), F.when(key % 2 == 0, 1).alias("is_representative"), F.when(key % 3 != 0, (key % 7).cast("int")).alias("representative_rank"))
+    v = table(spark, sf, "customer").select(F.col("c_custkey").alias("video_id"), F.col("c_name").alias("name"))
+    rows = tables.segments_of(s, v, [71, 4, 128, 13], representative=True).collect()
+    return spark.createDataFrame([(i, int(r.segment_id)) for i, r in enumerate(rows)], "pos long, segment_id long")
+
+
+@query("""SELECT md5(string_agg(l_orderkey || ':' || l_linenumber, ',' ORDER BY o_custkey, l_shipdate, l_linenumber, l_orderkey)) AS order_md5, count(*)::BIGINT AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (7, 8, 10)""")
+def frames_in_order(spark, sf):
+    """The lines of some customers, as the frames of some videos, in the order of video, time and frame."""
+    f = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("segment_id"), F.col("l_shipdate").alias("ts"), (F.col("l_linenumber").cast("long") * 10_000_000 + F.col("l_orderkey")).alias("frame_index"), "l_linenumber")
+    s = table(spark, sf, "orders").select(F.col("o_orderkey").alias("segment_id"), F.col("o_custkey").alias("video_id"))
+    v = table(spark, sf, "customer").filter("c_custkey in (7, 8, 10)").select(F.col("c_custkey").alias("video_id"))
+    line = ",".join(f"{r.segment_id}:{r.l_linenumber}" for r in tables.ordered_frames(f, s, v).collect())  # those of three videos
+    return spark.createDataFrame([(line, line.count(":"))], "line string, n long").select(F.md5("line").alias("order_md5"), "n")
+
+
+STATES = "['pending', 'captioning', 'caption_done', 'done', 'failed']"
+
+
+@query(f"""SELECT s_suppkey, coalesce(st NOT IN ('done', 'caption_done', 'failed'), true) AS plain, coalesce(st NOT IN ('done', 'caption_done'), true) AS retried, true AS forced FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 6 < 5 THEN ({STATES})[s_suppkey % 6 + 1] END AS st FROM supplier)""")
+def should_caption(spark, sf):
+    status = F.get(F.array(*[F.lit(x) for x in ("pending", "captioning", "caption_done", "done", "failed")]), (F.col("s_suppkey") % 6).cast("int"))
+    return table(spark, sf, "supplier").select("s_suppkey", tables.should_caption(status).alias("plain"), tables.should_caption(status, retry_failed=True).alias("retried"), tables.should_caption(status, force=True).alias("forced"))
+
+
+@query("""SELECT s_suppkey AS image_id, CASE WHEN s_suppkey % 4 = 0 THEN 'failed' WHEN s_suppkey % 4 = 1 THEN 'captioning' ELSE 'done' END AS status, CASE WHEN s_suppkey % 4 = 0 THEN 'down' WHEN s_suppkey % 4 = 1 THEN NULL ELSE 'old' END AS error_message, s_name AS caption FROM supplier""")
+def image_status_flow(spark, sf):
+    images = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("image_id"), F.lit("done").alias("status"), F.lit("old").alias("error_message"), F.col("s_name").alias("caption"))
+    started = tables.mark_captioning(images, images.filter("image_id % 4 = 1"))
+    failures = images.filter("image_id % 4 = 0").select("image_id", F.lit("down").alias("error")).unionAll(spark.createDataFrame([(-1, "unknown")], "image_id long, error string"))
+    return tables.mark_failed(started, failures)
+
+
+@query("""SELECT c_custkey AS video_id, CASE c_custkey % 5 WHEN 0 THEN 'processing' WHEN 1 THEN 'done' WHEN 2 THEN 'failed' WHEN 3 THEN 'pending' ELSE 'old' END AS status, CASE WHEN c_custkey % 5 = 2 THEN 'why' WHEN c_custkey % 5 = 4 THEN 'before' END AS error_message FROM customer""")
+def video_lifecycle(spark, sf):
+    videos = table(spark, sf, "customer").select(F.col("c_custkey").alias("video_id"), F.lit("old").alias("status"), F.lit("before").alias("error_message"))
+    event = F.get(F.array(*[F.lit(x) for x in ("start", "complete", "fail", "reset")]), (F.col("video_id") % 5).cast("int"))
+    return tables.mark_videos(videos, videos.select("video_id", event.alias("event"), F.lit("why").alias("error")).filter("event is not null"))
+
+
+@query("""SELECT count(*) FILTER (WHERE ok)::BIGINT AS synced, count(*) FILTER (WHERE NOT ok)::BIGINT AS skipped, max(n)::BIGINT AS n_rows, sum(len(d)) FILTER (WHERE ok)::BIGINT AS described FROM (SELECT doc_id % 3 <> 0 AND trim(text) <> '' AS ok, (SELECT count(*) FROM documents WHERE doc_id % 3 <> 0 AND trim(text) <> '') AS n, source AS d FROM documents)""")
+def sync_records(spark, sf):
+    d = table(spark, sf, "documents")
+    records = d.select(F.col("doc_id").alias("video_id"), F.when(F.col("doc_id") % 3 != 0, "ok").otherwise("error").alias("status"), F.when(F.trim("text") != "", F.col("source")).otherwise("").alias("description"), F.array("lang").alias("tags"))
+    out, counts = tables.sync_records(records.limit(0), records, tables.MergeSpec(("video_id",), ("description", "tags")))
+    return counts.crossJoin(out.agg(F.count("*").alias("n_rows"), F.sum(F.char_length("description")).alias("described")))
+
+
+@query("SELECT (SELECT count(*) FROM embeddings)::BIGINT AS vectors_frame, (SELECT count(DISTINCT segment_id) FROM f)::BIGINT AS vectors_segment, (SELECT sum(least(n, 8)) FROM (SELECT count(DISTINCT segment_id) AS n FROM f GROUP BY video_id))::BIGINT AS vectors_video FROM (SELECT 1)".replace("SELECT (SELECT", "WITH " + FRAMES.replace("frames AS", "f AS") + " SELECT (SELECT", 1))
+def index_tables(spark, sf):
+    f = frames(spark, sf)
+    segments = materialise(engines.build_segments(f), "segments")
+    refreshed = engines.refresh_representatives(segments.withColumnRenamed("rank", "old_rank") if "rank" in segments.columns else segments)
+    own = engines.index_tables(f, refreshed)
+    out = None
+    for name, index in own.items():
+        one = index.agg(F.countDistinct("item_id").alias(name))
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out
+
+
+@query("SELECT event_id, round_even(event_id / 29.97::DOUBLE, 3) AS ts, greatest(1, floor((event_id % 2000 + 1) * least(1.0, 640.0 / greatest(event_id % 2000 + 1, 480))))::INT AS width FROM events")
+def frame_times(spark, sf):
+    side = (F.col("event_id") % 2000 + 1).cast("int")
+    return table(spark, sf, "events").select("event_id", sampling.frame_time("event_id", 29.97).alias("ts"), sampling.fit_within(side, F.lit(480), 640, cut=True)["width"].alias("width"))
+
+
+@query("SELECT page_id, substr(p, 12) AS path, p AS note FROM (SELECT page_id, '/srv/media/' || regexp_replace(url, '^https?://[^/]*/', '') AS p FROM pages)")
+def portable_records(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.concat(F.lit("/srv/media/"), F.regexp_replace("url", "^https?://[^/]*/", "")).alias("path"))
+    return paths.portable_records(p.withColumn("note", F.col("path")), "/srv/media")
+
+
+@query("SELECT (SELECT count(*) FROM documents)::BIGINT AS n, (SELECT count(*) FROM documents WHERE doc_id % 5 = 0)::BIGINT AS records_encoded, (SELECT count(*) FROM documents WHERE doc_id % 5 = 0 AND trim(text) <> '')::BIGINT AS n_new, 'full' AS last_build_mode")
+def refresh_documents(spark, sf):
+    """Documents of which each fifth has no vector, or one older than its text, brought up to date."""
+    i = F.col("doc_id")
+    d = table(spark, sf, "documents").select("doc_id", "text", F.when(i % 10 != 0, F.array(F.lit(1.0), F.lit(0.0))).alias("embedding"), F.lit("2024-01-02").alias("caption_updated_at"), F.when(i % 10 == 5, "2024-01-01").otherwise("2024-01-03").alias("embedding_updated_at"))
+    out, built = engines.refresh_documents(d, HashEncoder(), F.col("text"))
+    counts = out.agg(F.count("*").alias("n"), F.count_if(F.size("embedding") == 64).alias("n_new"))
+    return counts.crossJoin(built.select("records_encoded", "last_build_mode"))

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import mimetypes
+import os
+import shutil
 import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qsl, unquote, urlsplit
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,18 +95,47 @@ def hits(found: DataFrame) -> DataFrame:
     )
 
 
+#: What an upload may be, and how many hits it may ask for.
+UPLOADS = "image/"
+MOST_HITS = 50
+
+
 @dataclass
 class SearchService:
+    """routes by name; older clients' names for routes; media(route, id) gives a file's path; by_image(bytes, top_k) searches by a picture."""
+
     routes: dict[str, Route]
+    also: dict[str, str] = field(default_factory=dict)
+    media: Callable[[str, str], str | None] = lambda route, item: None
+    by_image: Callable[[bytes, int], DataFrame] | None = None
+
+    def search_image(self, kind: str, data: bytes, top_k: int = 10) -> dict:
+        """Hits of an uploaded picture; raises ValueError for what isn't one. top_k is held between 1 and 50."""
+        if self.by_image is None:
+            raise ValueError("no search by picture")
+        if not (kind or "").lower().startswith(UPLOADS):
+            raise ValueError(f"not a picture: {kind or 'no content type'}")
+        if not data:
+            raise ValueError("the upload is empty")
+        began, top_k = time.perf_counter(), min(MOST_HITS, max(1, top_k))
+        rows = [json.loads(r.j) for r in self.by_image(data, top_k).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).collect()]
+        return {"top_k": top_k, "elapsed_ms": round((time.perf_counter() - began) * 1000, 1), "results": rows}
+
+    def file(self, route: str, item: str) -> str | None:
+        """The path of a route's medium, null if there is none."""
+        name = self.also.get(route, route)
+        return self.media(name, item) if name in self.routes else None
 
     def search(self, request: Request) -> dict:
         began = time.perf_counter()
         names = [n for n in self.routes if request.mode in (n, "both")]
         blocks = {n: self.routes[n].block(request) for n in names}
+        blocks |= {old: blocks[n] for old, n in self.also.items() if n in blocks}
         return {"query": request.query, "mode": request.mode, "top_k": request.top_k, "elapsed_ms": round((time.perf_counter() - began) * 1000, 1), **blocks}
 
     def health(self) -> dict:
-        return {n: {"ready": r._search is not None, "starting": r.starting, "error": r.error} for n, r in self.routes.items()}
+        """Of each route whether it is ready or starting, its last error, and the size of its index once it is ready."""
+        return {n: {"ready": r._search is not None, "starting": r.starting, "error": r.error, "index_count": r.count() if r._search is not None else 0} for n, r in self.routes.items()}
 
 
 def attach_media(found: DataFrame, files: DataFrame, key: str = "video_id", path: str = "video_path") -> DataFrame:
@@ -115,29 +148,52 @@ def attach_media(found: DataFrame, files: DataFrame, key: str = "video_id", path
 
 
 def serve(service: SearchService, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:
-    """POST /search and GET /health; start it with serve_forever."""
+    """POST /search and /search-by-image, GET /health, /media/ROUTE/ID and / (the routes); start it with serve_forever.
+
+    /search-by-image takes the picture as the body, with its content type, and ?top_k=N.
+    """
 
     class Handler(BaseHTTPRequestHandler):
-        def _reply(self, code: int, body: dict) -> None:
-            data = json.dumps(body, ensure_ascii=False).encode()
+        def _send(self, code: int, kind: str, data: bytes) -> None:
             self.send_response(code)
-            self.send_header("Content-Type", "application/json; charset=utf-8")
+            self.send_header("Content-Type", kind)
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
             self.wfile.write(data)
 
+        def _reply(self, code: int, body: dict) -> None:
+            self._send(code, "application/json; charset=utf-8", json.dumps(body, ensure_ascii=False).encode())
+
         def do_GET(self) -> None:
-            self._reply(200, service.health()) if self.path == "/health" else self._reply(404, {"error": "not found"})
+            path = unquote(urlsplit(self.path).path)
+            if path == "/health":
+                return self._reply(200, service.health())
+            if path == "/":
+                return self._reply(200, {"routes": sorted(service.routes), "paths": ["/search", "/search-by-image", "/health", "/media/{route}/{id}"]})
+            head, _, rest = path.lstrip("/").partition("/")
+            route, _, item = rest.partition("/")
+            found = service.file(route, item) if head == "media" and item else None
+            if found is None or not os.path.isfile(found):
+                return self._reply(404, {"error": "not found"})
+            self.send_response(200)
+            self.send_header("Content-Type", mimetypes.guess_type(found)[0] or "application/octet-stream")
+            self.send_header("Content-Length", str(os.path.getsize(found)))
+            self.end_headers()
+            with open(found, "rb") as f:
+                shutil.copyfileobj(f, self.wfile)
 
         def do_POST(self) -> None:
-            if self.path != "/search":
-                return self._reply(404, {"error": "not found"})
+            url = urlsplit(self.path)
+            body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
             try:
-                body = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)))
-                request = Request(**body)
+                if url.path == "/search":
+                    return self._reply(200, service.search(Request(**json.loads(body))))
+                if url.path == "/search-by-image":
+                    top_k = int(dict(parse_qsl(url.query)).get("top_k", 10))
+                    return self._reply(200, service.search_image(self.headers.get("Content-Type") or "", body, top_k))
             except (TypeError, ValueError) as e:
                 return self._reply(422, {"error": str(e)})
-            return self._reply(200, service.search(request))
+            return self._reply(404, {"error": "not found"})
 
         def log_message(self, *args) -> None:
             pass

@@ -77,3 +77,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def discard(table: DataFrame) -> None:
     """Delete the files of a materialised table that nothing will read again."""
     _delete(table.sparkSession, table.written_to)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it has fewer: a small file would keep one core busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import json
+import sqlite3
+import uuid
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framequarry.functions.captions import normalize_records
+from framequarry.functions.paths import image_source
 from framequarry.operators.tables import last_per_key, structured
 
 # The endings of media files.
@@ -94,6 +103,147 @@ def write_vectors(rows: DataFrame, path: str, kind: str | None = None, model: st
     rows.withColumns({"index_kind": F.lit(kind).cast("string"), "model_name": F.lit(model).cast("string")}).write.mode("overwrite").parquet(path)
 
 
+def npy_vectors(spark: SparkSession, folder: str, normalize: bool = False) -> DataFrame:
+    """(path, name, embedding) of the .npy files below a folder, each one vector; unreadable files have none."""
+    rows = media_files(spark, folder, ("npy",), content=True)
+
+    @F.pandas_udf("array<float>")
+    def load(blobs: pd.Series) -> pd.Series:
+        def one(blob: bytes):
+            try:
+                v = np.load(io.BytesIO(blob), allow_pickle=False).astype(np.float32).ravel()
+            except (ValueError, OSError, EOFError):
+                return None
+            n = float(np.linalg.norm(v))
+            return v / n if normalize and n > 0 else v
+
+        return blobs.map(one)
+
+    return rows.select("path", F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("name"), load("content").alias("embedding"))
+
+
+def index_items(spark: SparkSession, path: str, expected_kind: str | None = None) -> DataFrame:
+    """(pos, item_id) of an index's JSON sidecar {dim, item_ids}, or the older frame_ids; raises on another index kind."""
+    kept = read_object(spark, path)
+    kind = kept.get("index_kind")
+    if expected_kind and kind and kind != expected_kind:
+        raise ValueError(f"index kind is {kind}, expected {expected_kind}")
+    ids = kept.get("item_ids") or kept.get("frame_ids") or []
+    return spark.createDataFrame([(i, str(x)) for i, x in enumerate(ids)], "pos int, item_id string")
+
+
+def read_object(spark: SparkSession, path: str) -> dict:
+    """A (small) JSON object from any store Spark reads; {} if it isn't there or isn't an object."""
+    try:
+        text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+        found = json.loads(text)
+    except (AnalysisException, ValueError):
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def write_object(spark: SparkSession, value: dict | list, path: str) -> None:
+    """One JSON file, indented by 2, in UTF-8, in any store Spark writes; an old one is replaced once the new one is whole."""
+    fs, target = _file_system(spark, path)
+    fresh = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.tmp-{uuid.uuid4().hex}")
+    out = fs.create(fresh, True)
+    out.write(bytearray((json.dumps(value, ensure_ascii=False, indent=2) + "\n").encode()))
+    out.close()
+    fs.delete(target, True)
+    fs.rename(fresh, target)
+
+
+def rewrite_jsonl(rows: DataFrame, path: str) -> None:
+    """Replace a JSON-lines folder, which ``rows`` may be read from: written beside it, then swapped."""
+    spark = rows.sparkSession
+    fresh = f"{path}.tmp-{uuid.uuid4().hex}"
+    rows.write.json(fresh)
+    fs, target = _file_system(spark, path)
+    fs.delete(target, True)
+    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), target)
+
+
+def error_rows(failures: DataFrame, stage: str, key: str = "video_id", now: Column | None = None) -> DataFrame:
+    """Rows of the error log from (key, error): (created_at, stage, item_id, error), to be appended as JSON lines."""
+    when = F.current_timestamp() if now is None else now
+    return failures.select(F.date_format(when.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("created_at"), F.lit(stage).alias("stage"), F.col(key).cast("string").alias("item_id"), "error")
+
+
+def sqlite_rows(spark: SparkSession, path: str, table: str, schema: T.StructType, partitions: int = 8) -> DataFrame:
+    """A table of a SQLite file that all executors see, read by ranges of its rowid; columns that it lacks are null."""
+    if not table.isidentifier():
+        raise ValueError(f"not a table's name: {table}")
+    link = f"file:{path.removeprefix('file://')}?mode=ro"
+    with contextlib.closing(sqlite3.connect(link, uri=True)) as db:
+        low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {table}").fetchone()
+        have = {r[1] for r in db.execute(f"PRAGMA table_info({table})")}
+    names = ", ".join(f.name if f.name in have else f"NULL AS {f.name}" for f in schema.fields)
+    step = -(-((high or 0) - (low or 0) + 1) // partitions)
+
+    def read(batches):
+        for own in batches:
+            for first in own["first"].tolist():
+                with contextlib.closing(sqlite3.connect(link, uri=True)) as db:
+                    cursor = db.execute(f"SELECT {names} FROM {table} WHERE rowid >= ? AND rowid < ?", (first, first + step))
+                    while rows := cursor.fetchmany(1000):
+                        yield pd.DataFrame(rows, columns=schema.names, dtype=object)
+
+    starts = spark.createDataFrame([] if low is None else [(low + i * step,) for i in range(partitions)], "first long")
+    return starts.repartition(partitions).mapInPandas(read, schema)
+
+
+def probe(files: DataFrame, decode: Callable[[bytes], tuple[int, float]]) -> DataFrame:
+    """Video files (path, content) with frames, fps and duration by a decoder that returns frames and rate; 0.0 where it fails."""
+    schema = T.StructType([files.schema["path"], T.StructField("frames", T.LongType()), T.StructField("fps", T.DoubleType()), T.StructField("duration", T.DoubleType())])
+
+    def one(blob: bytes) -> tuple:
+        try:
+            frames, fps = decode(blob)
+        except Exception:  # the decoder is the user's; a file it can't read has no length
+            return 0, 0.0, 0.0
+        return int(frames), float(fps), float(frames) / float(fps) if fps > 0 else 0.0
+
+    def run(batches):
+        for own in batches:
+            made = [one(b) for b in own["content"]]
+            yield pd.DataFrame({"path": own["path"], **{n: [m[i] for m in made] for i, n in enumerate(("frames", "fps", "duration"))}})
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def validated(files: DataFrame, decode: Callable[[bytes], tuple[int, int]]) -> DataFrame:
+    """Image files (path, content) with ok, error, width and height by a decoder that returns the size."""
+    schema = T.StructType([files.schema["path"], *[T.StructField(n, t) for n, t in (("ok", T.BooleanType()), ("error", T.StringType()), ("width", T.IntegerType()), ("height", T.IntegerType()))]])
+
+    def one(blob: bytes) -> tuple:
+        try:
+            width, height = decode(blob)
+        except Exception as e:  # the decoder is the user's: whatever it raises is the file's error
+            return False, f"{type(e).__name__}: {e}", 0, 0
+        return True, None, int(width), int(height)
+
+    def run(batches):
+        for own in batches:
+            made = [one(b) for b in own["content"]]
+            yield pd.DataFrame({"path": own["path"], **{n: [m[i] for m in made] for i, n in enumerate(("ok", "error", "width", "height"))}})
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def image_bytes(sources: DataFrame, files: DataFrame, source: str = "source") -> DataFrame:
+    """Rows with kind and bytes of a source: decoded base64, or the content of the file (path, content) it names; a URL has none."""
+    told = sources.withColumn("__s", image_source(source))
+    named = files.select(F.regexp_replace("path", "^file:/*", "/").alias("__path"), F.col("content").alias("__content"))
+    own = F.when(F.col("__s.kind") == "path", F.regexp_replace(F.trim(source), "^file:/*", "/"))
+    out = told.withColumn("__path", own).join(named, "__path", "left")
+    return out.withColumns({"kind": F.col("__s.kind"), "bytes": F.coalesce("__s.bytes", "__content")}).drop("__s", "__path", "__content")
+
+
 def decode_floats(blob: Column | str, dim: Column | str) -> Column:
     """A little-endian float32 blob as array<float>; null where its size isn't that of ``dim`` numbers."""
     @F.pandas_udf("array<float>")
@@ -121,6 +271,12 @@ def keyed_json(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.col(key).alias("key"), F.to_json(F.struct(*[c for c in rows.columns])).alias("json"))
 
 
+def keyed_object(rows: DataFrame, key: str) -> DataFrame:
+    """One row (json): a single object of all rows under their keys, for the (bounded) result of a batch."""
+    own = keyed_json(rows, key)
+    return own.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.concat(F.to_json(F.col("key").cast("string").cast("variant")), F.lit(":"), "json"))), ","), F.lit("}")).alias("json"))
+
+
 def manifest(index: DataFrame, encoded: DataFrame, mode: str, adds: int) -> DataFrame:
     """One row about a build: records indexed, encoded, reused, the mode and the count of incremental additions."""
     a, b = index.agg(F.count("*").alias("records_indexed")), encoded.agg(F.count("*").alias("records_encoded"))
