@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,9 @@ from framequarry.functions import text as X
 from framequarry.operators import bm25, fusion, greedy, pooling, tables, temporal, topk
 from framequarry.plans import engines
 from framequarry.plans.encoders import HashEncoder
-from framequarry.session import materialise
+from framequarry.session import materialise, work_dir
+from framequarry.sources import files
+from framequarry.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -865,3 +868,115 @@ def refresh_documents(spark, sf):
     out, built = engines.refresh_documents(d, HashEncoder(), F.col("text"))
     counts = out.agg(F.count("*").alias("n"), F.count_if(F.size("embedding") == 64).alias("n_new"))
     return counts.crossJoin(built.select("records_encoded", "last_build_mode"))
+
+
+# ---- files and records: what is written to the application's folder is read again
+
+
+def folder(spark, name: str) -> str:
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_id, event_type AS label, round(value, 6) AS value FROM events")
+def jsonl_round_trip(spark, sf):
+    """JSON lines appended in two parts, with blank lines and a line that is no object among them."""
+    e, path = table(spark, sf, "events").select("event_id", F.col("event_type").alias("label"), "value"), folder(spark, "lines")
+    files.append_jsonl(e.filter("event_id % 2 = 0"), path)
+    files.append_jsonl(e.filter("event_id % 2 = 1"), path)
+    spark.createDataFrame([("",), ("  ",), ("[1, 2]",), ("7",)], "value string").write.mode("append").text(path)
+    return files.read_jsonl(spark, path, e.schema).select("event_id", "label", r6("value").alias("value"))
+
+
+def caption_log(spark, sf) -> str:
+    """A caption log of the events: aliases, failed, untagged and empty records, and some broken lines on request."""
+    i, path = F.col("event_id"), folder(spark, "captions")
+    record = F.struct(
+        F.when(i % 2 == 0, i.cast("string")).alias("video_id"), F.when(i % 2 == 1, i.cast("string")).alias("videoID"), F.when(i % 5 == 0, "error").otherwise("ok").alias("status"),
+        F.when(i % 7 != 0, F.col("event_type")).alias("description"), F.when(i % 3 == 0, F.array("event_type", F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("tags"),
+    )
+    table(spark, sf, "events").select(F.to_json(record).alias("value")).write.text(path)
+    return path
+
+
+@query("SELECT event_id, event_type AS description, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END::BIGINT AS n_tags FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0")
+def caption_records(spark, sf):
+    r = files.caption_records(spark, caption_log(spark, sf))
+    return r.select(F.col("video_id").cast("long").alias("event_id"), "description", F.size("tags").cast("long").alias("n_tags"))
+
+
+@query("SELECT (SELECT count(*) FROM events WHERE event_id % 7 <> 0)::BIGINT AS with_failed, (SELECT count(*) FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 3 = 0)::BIGINT AS structured")
+def caption_record_counts(spark, sf):
+    path = caption_log(spark, sf)
+    a = files.caption_records(spark, path, include_failed=True).agg(F.count("*").alias("with_failed"))
+    return a.crossJoin(files.caption_records(spark, path, structured_only=True).agg(F.count("*").alias("structured")))  # one row each
+
+
+@query("SELECT user_id, max(event_id) AS last, count(*) FILTER (WHERE event_id >= 0) > 0 AS there FROM events GROUP BY 1")
+def resume_log(spark, sf):
+    """A log with broken lines: of each user the record that comes last in it."""
+    path = folder(spark, "resume")
+    e = table(spark, sf, "events").orderBy("event_id").select(F.to_json(F.struct(F.col("user_id").cast("string").alias("video_id"), F.col("event_id").cast("string").alias("caption"))).alias("value"))
+    # one file, so that the lines have an order
+    e.unionAll(spark.createDataFrame([("{broken",), ("",)], "value string")).coalesce(1).write.text(path)
+    return files.resume_records(spark, path).select(F.col("video_id").cast("long").alias("user_id"), F.col("caption").cast("long").alias("last"), F.lit(True).alias("there"))
+
+
+@query("SELECT vec_id, embedding[1]::DOUBLE AS first, round(list_sum(embedding::DOUBLE[]), 5) AS total, vec_id % 9 <> 0 AS sized FROM embeddings")
+def vector_blobs(spark, sf):
+    """Vectors as float32 blobs and back; a blob of another size than its dim says is no vector."""
+    e = table(spark, sf, "embeddings").withColumn("blob", files.encode_floats("embedding")).withColumn("dim", F.when(F.col("vec_id") % 9 == 0, 63).otherwise(64))
+    e = e.withColumns({"back": files.decode_floats("blob", F.lit(64)), "sized": files.decode_floats("blob", "dim").isNotNull()})
+    return e.select("vec_id", F.element_at("back", 1).cast("double").alias("first"), F.round(F.aggregate("back", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), "sized")
+
+
+@query("SELECT label::BIGINT AS label, count(*)::BIGINT AS n, 'clip' AS index_kind FROM embeddings GROUP BY 1")
+def vector_index_round_trip(spark, sf):
+    path = folder(spark, "index")
+    files.write_vectors(items(spark, sf), path, kind="clip", model="m")
+    return files.read_vectors(spark, path, "clip").groupBy("label", "index_kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS caption, arg_max(round(value, 6)::VARCHAR, CASE WHEN event_id % 4 <> 0 THEN event_id END) AS model FROM events GROUP BY 1")
+def caption_ingest(spark, sf):
+    """Records streamed in three files, a micro-batch each, merged into a table: the last caption, the last model that is given."""
+    source, target = folder(spark, "arriving"), folder(spark, "ingested")
+    e = table(spark, sf, "events").orderBy("event_id")
+    rows = e.select("event_id", F.struct(F.col("user_id").cast("string").alias("video_id"), F.col("event_type").alias("caption"), F.when(F.col("event_id") % 4 != 0, F.round("value", 6).cast("string")).alias("model")).alias("r"))
+    first, second = e.agg(F.percentile_approx("event_id", [1 / 3, 2 / 3])).first()[0]
+    for own in (F.col("event_id") <= first, (F.col("event_id") > first) & (F.col("event_id") <= second), F.col("event_id") > second):
+        rows.filter(own).orderBy("event_id").select("r.*").coalesce(1).write.mode("append").json(source)
+        ingest.ingest_captions(ingest.caption_stream(spark, source), target, f"{target}-checkpoint").awaitTermination()
+    return ingest.current(spark, target).select(F.col("video_id").cast("long").alias("user_id"), "caption", "model")
+
+
+@query("SELECT n, k, CASE WHEN n <= k THEN n ELSE k END::BIGINT AS kept, 0::BIGINT AS first, ((n - 1) * 3)::BIGINT AS last FROM (SELECT unnest([5, 9, 40]) AS n), (SELECT unnest([2, 7, 10]) AS k)")
+def downsample_frames(spark, sf):
+    d = spark.createDataFrame([(n, k) for n in (5, 9, 40) for k in (2, 7, 10)], "n int, k int")
+    own = sampling.downsample(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: i * 3), "k")
+    d = d.withColumn("own", own)
+    return d.select("n", "k", F.size("own").cast("long").alias("kept"), F.element_at("own", 1).cast("long").alias("first"), F.element_at("own", -1).cast("long").alias("last"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN '' ELSE event_type END AS answer, printf('%.1f-%.1f s (%.3f) · 9.0-9.5 s (0.125)', (event_id % 50)::DOUBLE, (event_id % 50 + 1)::DOUBLE, (event_id % 8) / 8.0) AS intervals, 'text|p|image_url|data:image/jpeg;base64,' || to_base64(encode(event_type)) AS message FROM events""")
+def response_texts(spark, sf):
+    """Answers of models in their shapes, intervals as text, and the parts of a captioning request."""
+    t, i = F.col("event_type"), F.col("event_id")
+    chat = F.concat(F.lit('{"choices":[{"message":{"content":"'), t, F.lit(' "}}]}'))
+    parts = F.concat(F.lit('{"choices":[{"message":{"content":[{"text":" '), t, F.lit('"},{"text":""}]}}]}'))
+    output = F.concat(F.lit('{"output":[{"content":[{"text":"'), t, F.lit('"}]}]}'))
+    answer = F.when(i % 4 == 0, chat).when(i % 4 == 1, parts).when(i % 4 == 2, output).otherwise("{}")
+    span = lambda a, b, s: F.struct(a.alias("start"), b.alias("end"), s.alias("score"))
+    spans = F.array(span((i % 50).cast("double"), (i % 50 + 1).cast("double"), (i % 8) / 8.0), span(F.lit(9.0), F.lit(9.5), F.lit(0.125)))
+    message = F.array_join(F.flatten(F.transform(captions.prompt_messages(F.lit("p"), F.array(t.cast("binary"))), lambda m: F.array(m["type"], m["value"]))), "|")
+    return table(spark, sf, "events").select("event_id", captions.response_text(answer).alias("answer"), captions.format_intervals(spans).alias("intervals"), message.alias("message"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || p_partkey WHEN 1 THEN '/root/pictures/' || p_name || p_partkey WHEN 2 THEN '/root/pictures/' || p_partkey || '.png' END AS resolved FROM part""")
+def image_files(spark, sf):
+    """Image paths that are found as they are, below the root, by their item's name, or not at all."""
+    p, name = F.col("p_partkey"), F.concat("p_name", F.col("p_partkey").cast("string"))
+    rows = table(spark, sf, "part").select(p.cast("string").alias("item_id"), name.alias("path"), p)
+    here = F.when(p % 4 == 0, name).when(p % 4 == 1, F.concat(F.lit("/root/pictures/"), name)).when(p % 4 == 2, F.concat(F.lit("/root/pictures/"), p.cast("string"), F.lit(".png")))
+    known = table(spark, sf, "part").select(here.alias("path")).filter("path is not null")
+    own = rows.withColumn("path", F.when(F.col("p_partkey") % 4 < 2, F.col("path")).otherwise(F.concat(F.lit("gone/"), F.col("item_id"))))
+    return paths.resolve_files(own.select("item_id", "path"), known, ["/root/pictures"]).select(F.col("item_id").cast("long").alias("p_partkey"), F.col("resolved_path").alias("resolved"))
