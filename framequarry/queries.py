@@ -425,9 +425,28 @@ def mmr_representatives(spark, sf):
     return found.select(F.col("video_id").cast("long").alias("video_id"), "segment_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+# Seeds farthest first (sd), rounds (ll), candidates by cluster (cand), then one cluster after the other and the rest by norm (tk).
+CLUSTERS = """g AS (SELECT segment_id, list(frame_id ORDER BY ts, frame_id) AS id, list(e ORDER BY ts, frame_id) AS v, list(norm ORDER BY ts, frame_id) AS nm, list(ts ORDER BY ts, frame_id) AS t, count(*)::INT AS n, least(4, count(*))::INT AS k FROM frames GROUP BY 1),
+ sd AS (SELECT segment_id, v, k, 1 AS s, [top] AS seeds, list_transform(v, lambda x, i: CASE WHEN i = top THEN 1e9 ELSE list_inner_product(x, v[top]) END) AS near FROM (SELECT *, list_position(nm, list_max(nm)) AS top FROM g) UNION ALL
+ SELECT segment_id, v, k, s + 1, list_append(seeds, far), list_transform(v, lambda x, i: CASE WHEN i = far OR near[i] > 1e8 THEN 1e9 ELSE greatest(near[i], list_inner_product(x, v[far])) END) FROM (SELECT *, list_position(near, list_min(near)) AS far FROM sd WHERE s < k)),
+ ll AS (SELECT g.segment_id, g.v, g.nm, g.n, g.k, 0 AS r, list_transform(seeds, lambda i: g.v[i]) AS c, list_transform(g.v, lambda x: 1) AS own, false AS still FROM g JOIN sd ON g.segment_id = sd.segment_id AND sd.s = g.k UNION ALL
+ SELECT segment_id, v, nm, n, k, r + 1, CASE WHEN latest = own THEN c ELSE list_transform(range(1, k + 1), lambda j: CASE WHEN list_contains(latest, j) THEN list_transform(range(1, 65), lambda d: list_sum(list_transform(list_filter(range(1, n + 1), lambda i: latest[i] = j), lambda i: v[i][d]))) ELSE v[list_position(nm, list_max(nm))] END) END, latest, latest = own
+ FROM (SELECT *, list_transform(v, lambda x: list_position(list_transform(c, lambda y: list_inner_product(x, y)), list_max(list_transform(c, lambda y: list_inner_product(x, y))))) AS latest FROM (SELECT segment_id, v, nm, n, k, r, own, still, list_transform(c, lambda y: list_transform(y, lambda z: z / sqrt(list_inner_product(y, y)))) AS c FROM ll) WHERE r < 12 AND NOT still)),
+ fin AS (SELECT segment_id, arg_max(c, r) AS c, arg_max(own, r) AS own FROM ll GROUP BY 1),
+ cand AS (SELECT segment_id, k, i, frame_id, x, n, t, 0.75 * n + 0.25 * list_inner_product(x, cc) AS sc, cl FROM (SELECT g.segment_id, k, i, id[i] AS frame_id, v[i] AS x, nm[i] AS n, t[i] AS t, own[i] AS cl, list_transform(fin.c[own[i]], lambda z: z / sqrt(list_inner_product(fin.c[own[i]], fin.c[own[i]]))) AS cc FROM g JOIN fin USING (segment_id), range(1, 9) u(i) WHERE i <= g.n)),
+ od AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY n DESC, i) AS place FROM cand),
+ tk AS (SELECT segment_id, n, k, 1 AS s, []::BIGINT[] AS taken, []::DOUBLE[][] AS vecs FROM g UNION ALL
+ SELECT segment_id, n, k, s + 1, CASE WHEN i IS NULL THEN taken ELSE list_append(taken, i) END, CASE WHEN i IS NULL THEN vecs ELSE list_append(vecs, x) END FROM
+ (SELECT t.segment_id, t.n, t.k, s, any_value(taken) AS taken, any_value(vecs) AS vecs, arg_max(t.i, (sc, -t.i)) FILTER (free) AS i, arg_max(t.x, (sc, -t.i)) FILTER (free) AS x FROM (SELECT tk.segment_id, tk.n, tk.k, tk.s, tk.taken, tk.vecs, od.i, od.x, od.sc,
+ len(taken) < tk.k AND NOT list_contains(taken, od.i) AND len(list_filter(vecs, lambda y: list_inner_product(y, od.x) >= 0.3)) = 0 AS free FROM tk JOIN od ON tk.segment_id = od.segment_id AND CASE WHEN s <= tk.k THEN od.cl = s ELSE od.place = s - tk.k END
+ UNION ALL SELECT tk.segment_id, tk.n, tk.k, tk.s, tk.taken, tk.vecs, NULL, NULL, NULL, false FROM tk) t WHERE s <= k + n GROUP BY 1, 2, 3, 4))"""
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, {CLUSTERS}
+ SELECT segment_id, frame_id, (row_number() OVER (PARTITION BY segment_id ORDER BY n DESC, t) )::BIGINT AS rank FROM (SELECT tk.segment_id, unnest(taken) AS i FROM tk WHERE s = k + n + 1) p JOIN cand USING (segment_id, i)""")
 def kmeans_frame_select(spark, sf):
-    return greedy.select_frames(frames(spark, sf), ["segment_id"], "frame_id", "embedding", "norm", "ts", IndexConfig(dedupe_threshold=0.3))
+    found = greedy.select_frames(frames(spark, sf), ["segment_id"], "frame_id", "embedding", "norm", "ts", IndexConfig(dedupe_threshold=0.3))
+    return found.select("segment_id", "frame_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
