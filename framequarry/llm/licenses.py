@@ -21,7 +21,6 @@ empty table gives no rows and rows of equal doc_id stay apart; columns n_paragra
 
 from __future__ import annotations
 
-import math
 import random
 import re
 from collections import Counter, defaultdict
