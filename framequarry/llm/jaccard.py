@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framequarry.llm.common import hashed_sample, map_texts, utf8
+from framequarry.llm.common import hashed_sample, map_texts, release, utf8
 from framequarry.llm.graph import components
 from framequarry.llm.simhash import links, numbered_rows, one_row_each, simhash
 from framequarry.session import discard, materialise
@@ -201,6 +201,8 @@ def _partnered(rows: np.ndarray) -> np.ndarray:
     group, start = _starts(by)
     two = np.diff(np.append(start, len(by)))[group] == 2  # where the only pair can be judged as a whole
     near &= ~two[1:] | _able(by[1:], by[:-1])
+    low, high = (f.reduceat(by["first"], start) for f in (np.minimum, np.maximum))
+    near &= ((low != high) | (low == by["h"][start]))[group][1:]  # else all of them meet at their first hash
     return np.unique(by["node"][np.append(near, False) | np.append(False, near)])
 
 
@@ -217,6 +219,7 @@ def _meetings(own: DataFrame, order, pairs: Callable[[np.ndarray], Iterator[tupl
         for batch in batches:
             rows = _entries(batch)
             yield _dealt(rows[~np.isin(rows["h"], hot)], targets)
+        release()
 
     def meet(batches):
         rows = _gathered(batches, _ENTRY)
@@ -236,6 +239,8 @@ def _meetings(own: DataFrame, order, pairs: Callable[[np.ndarray], Iterator[tupl
             ids = np.setdiff1d(_partnered(rows), out)
             out = np.concatenate([out, np.stack([ids, ids], axis=1)])
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, k])) for k in range(2)], names=_PAIRS.names)
+        del rows, found, out
+        release()
 
     return own.select("node", "n", "component", "prefix").mapInArrow(deal, _SENT).repartitionById(targets, "to").mapInArrow(meet, _PAIRS)
 
