@@ -9,13 +9,14 @@ are the connected ones. Texts of equal sets are one node.
    texts. So what the signatures miss comes from prefixes, exactly: in any one order of all shingles, two sets of similarity
    0.8 share one of their first n - ceil(0.8 n) + 1. No pair is lost, whatever the order; rare shingles come first (counts
    of a bounded sample, then the hash), so that few sets meet. One node of each shingle is compared with the others, and then
-   those of different components that still meet in pairs, so a group of copies isn't turned into pairs.
+   those of different components that still meet in pairs, so a group of copies isn't turned into pairs. That one is the node
+   that has the shingle earliest in its prefix, so the fewest shingles of its own: among near copies of a text the least changed.
 
 Prefixes are exchanged as packed blocks, one for each range of hashes, where nodes with equal hashes meet. A meeting counts only if
 the sizes and the places in both orders let the rest of the sets be similar, and where the first shingles are equal, only there.
 Pairs then have to pass a bitmap of each set, which bounds the overlap, before their texts are compared. Hashes that the
 sample shows to be common (HOT of its texts) don't take part in blocks, so that none of them fills a task; their entries are
-joined as rows, which Spark splits where they are many.
+joined as rows, which Spark splits where they are many: each entry outside the largest component of its hash with all the others.
 
 Defined cases: null and wordless texts have the empty set, all equal; a text of up to five words is one shingle.
 """
@@ -150,7 +151,7 @@ def _sets(rows: DataFrame, order) -> DataFrame:
 
 
 _ENTRY = np.dtype([("h", "<i8"), ("node", "<i8"), ("component", "<i8"), ("first", "<i8"), ("n", "<i4"), ("pos", "<i4")])
-_MET = T.StructType([T.StructField(c, T.LongType()) for c in ("h", "node", "component", "n", "pos")])
+_MET = T.StructType([T.StructField(c, T.LongType()) for c in ("h", "node", "component", "n", "pos", "prev")])
 _PAIRS = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b")])
 #: Meetings that are looked at at once.
 AT_ONCE = 1 << 20
@@ -163,7 +164,7 @@ def _starts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _star_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of entries sorted by h and node: one of each h with the others."""
+    """Of entries sorted by h and pos: the first of each h with the others."""
     group, start = _starts(rows)
     other = np.setdiff1d(np.arange(len(rows)), start)
     for i in range(0, len(other), AT_ONCE):
@@ -172,7 +173,7 @@ def _star_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _cross_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of entries sorted by h and node: all two of an h that are of different components."""
+    """Of entries sorted by h: all two of an h that are of different components."""
     group, start = _starts(rows)
     low, high = (f.reduceat(rows["component"], start) for f in (np.minimum, np.maximum))
     stop = np.append(start[1:], len(rows))[group]
@@ -228,12 +229,12 @@ def _meetings(own: DataFrame, order, pairs: Callable[[np.ndarray], Iterator[tupl
         rows = rows[np.append(same, False) | np.append(False, same)] if len(rows) else rows  # those whose hash occurs again
         if not len(rows):
             return
-        rows = rows[np.lexsort((rows["node"], rows["h"]))]
+        rows = rows[np.lexsort((rows["node"], rows["pos"], rows["h"]))]
         found = [np.zeros((0, 2), np.int64)]
         for i, j in pairs(rows):
             x, y = rows[i], rows[j]
             fit = _able(x, y) & ((x["first"] != y["first"]) | (x["first"] == x["h"]))
-            found.append(np.unique(np.stack([x["node"][fit], y["node"][fit]], axis=1), axis=0))
+            found.append(np.unique(np.sort(np.stack([x["node"][fit], y["node"][fit]], axis=1), axis=1), axis=0))
         out = np.unique(np.concatenate(found), axis=0)
         if alone:
             ids = np.setdiff1d(_partnered(rows), out)
@@ -260,14 +261,19 @@ def _entries(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _common(own: DataFrame, order) -> DataFrame:
-    """The entries (h, node, component, n, pos) of hashes that the sample shows to be common, without an exchange."""
+    """The entries (h, node, component, n, pos, prev) of hashes that the sample shows to be common, without an exchange.
+
+    prev: the hash before it in the prefix, common or not; 0 for the first.
+    """
 
     def run(batches):
         _, _, hot = order.value
         for batch in batches:
             rows = _entries(batch)
-            rows = rows[np.isin(rows["h"], hot)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[c].astype(np.int64)) for c in _MET.names], names=_MET.names)
+            prev = np.where(rows["pos"] > 0, np.roll(rows["h"], 1), 0)
+            own = np.isin(rows["h"], hot)
+            rows, prev = rows[own], prev[own]
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows[c].astype(np.int64)) for c in _MET.names[:-1]), pa.array(prev)], names=_MET.names)
 
     return own.select("node", "n", "component", "prefix").mapInArrow(run, _MET)
 
@@ -323,6 +329,32 @@ def _can_meet(x: str, y: str) -> Column:
     return (F.least(n, m) * LEAST[1] >= F.greatest(n, m) * LEAST[0]) & (F.least(n - i, m - j) * sum(LEAST) >= (n + m) * LEAST[0])
 
 
+def _ends() -> list[Column]:
+    """The nodes of the rows x and y as a and b, the lesser first."""
+    return [f("x.node", "y.node").alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))]
+
+
+def _common_stars(common: DataFrame) -> DataFrame:
+    """(a, b), not distinct: of each common hash the entry of the earliest place with the others that can be similar."""
+    centre = common.groupBy("h").agg(F.min(F.struct("pos", "node", "n")).alias("x")).select("h", "x.*").alias("x")
+    return common.alias("y").join(centre, "h").filter((F.col("y.node") != F.col("x.node")) & _can_meet("x", "y")).select(*_ends())
+
+
+def _common_pairs(common: DataFrame) -> DataFrame:
+    """(a, b), not distinct: entries of a common hash of different components that can be similar.
+
+    One of such two is outside the largest component of the hash, so only those outside are held against the others, and none
+    where a component has them all. Two whose hashes before are equal have met there, or at a hash before that.
+    """
+    sizes = common.groupBy("h", "component").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("h").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("some")).filter("some > 1")
+    left = materialise(common.join(mixed, "h").select(*_MET.names, (F.col("component") != F.col("main")).alias("outside")), "mixed")
+    once = ~F.col("y.outside") | (F.col("x.node") < F.col("y.node"))
+    new = (F.col("x.prev") != F.col("y.prev")) | (F.col("x.pos") == 0) | (F.col("y.pos") == 0)
+    both = left.filter("outside").alias("x").join(left.alias("y"), "h")
+    return both.filter(once & new & (F.col("x.component") != F.col("y.component")) & _can_meet("x", "y")).select(*_ends())
+
+
 def classes(rows: DataFrame) -> DataFrame:
     """(__row, doc_id if there, component) for each of ``rows`` (__row: a unique long, text)."""
     order = rows.sparkSession.sparkContext.broadcast(_order(rows))
@@ -334,21 +366,15 @@ def classes(rows: DataFrame) -> DataFrame:
 
     common = materialise(_common(own, order), "common")
     met = materialise(_meetings(own, order, _star_pairs, alone=True), "met")
-    centre = common.groupBy("h").agg(F.min_by(F.struct("node", "n", "pos"), "node").alias("x")).select("h", "x.*").alias("x")
-    hot = common.alias("y").join(centre, "h").filter((F.col("y.node") > F.col("x.node")) & _can_meet("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    stars = met.filter("a <> b").unionAll(hot).distinct().join(linked, ["a", "b"], "left_anti")
+    stars = met.filter("a <> b").unionAll(_common_stars(common)).distinct().join(linked, ["a", "b"], "left_anti")
     linked = linked.unionAll(_verified(materialise(stars, "stars"), sets, rows))
     settled = _small(materialise(components(linked), "settled"))
     component = F.coalesce("component", "node").alias("component")
     # nodes that can be similar to no other needn't be looked at again
     meeting = materialise(met.select(F.col("a").alias("node")).unionAll(met.select(F.col("b").alias("node"))).unionAll(common.select("node")).distinct(), "meeting")
     own = own.drop("component").join(_small(meeting), "node", "left_semi").join(settled, "node", "left").select("node", "n", "prefix", component)
-    common = common.drop("component").join(settled, "node", "left").select("h", "node", component, "n", "pos")
-    mixed = common.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("h")
-    left = materialise(common.join(mixed, "h", "left_semi"), "mixed")
-    other = F.col("x.node") < F.col("y.node")
-    hot = left.alias("x").join(left.alias("y"), "h").filter(other & (F.col("x.component") != F.col("y.component")) & _can_meet("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    pairs = materialise(_meetings(own, order, _cross_pairs).unionAll(hot).distinct(), "pairs")
+    common = common.drop("component").join(settled, "node", "left").select(*(component if c == "component" else c for c in _MET.names))
+    pairs = materialise(_meetings(own, order, _cross_pairs).unionAll(_common_pairs(common)).distinct(), "pairs")
     of = components(linked.unionAll(_verified(pairs, sets, rows)))
     named = nodes.join(of, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
     found = materialise(sets.join(named, "same").select("__row", *(["doc_id"] if "doc_id" in sets.columns else []), "component"), "classes")
