@@ -16,6 +16,8 @@ from framequarry.session import materialise, spread
 #: Effective field weights.
 WEIGHTS = {"tags": 2.0, "description": 1.0, "caption": 1.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Gains are added up in units of 1 / UNIT, and what is less in units of 1 / (UNIT * REST).
+UNIT, REST = 1 << 20, 1 << 40
 #: Rows (query, term) that are broadcast at most.
 BROADCAST_ROWS = 200_000
 
@@ -82,7 +84,8 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def search(index: SparseIndex, queries: DataFrame, query: str = "query_id") -> DataFrame:
     """Scores of (query, term) rows against the index: (query, key, sparse_score); the lower the better.
 
-    Postings are filtered by the queries' terms before anything is computed.
+    Postings are filtered by the queries' terms before anything is computed. A document's gains are added up in whole
+    numbers, so that the sum doesn't depend on their order: documents of equal gains have equal scores.
     """
     terms = bounded(queries.select(query, "term").distinct())
     hit = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
@@ -91,8 +94,10 @@ def search(index: SparseIndex, queries: DataFrame, query: str = "query_id") -> D
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
     gain = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    scored = s.select(index.key, "term", gain.alias("gain"))
-    return scored.join(terms, "term").groupBy(query, index.key).agg((-F.sum("gain")).alias("sparse_score"))
+    scored = s.select(index.key, "term", (gain * float(UNIT)).alias("gain"))
+    whole = F.floor("gain")
+    rest = F.floor((F.col("gain") - whole) * float(REST))
+    return scored.join(terms, "term").groupBy(query, index.key).agg((-(F.sum(whole) + F.sum(rest) / float(REST)) / float(UNIT)).alias("sparse_score"))
 
 
 def query_rows(queries: DataFrame, text: str, query: str = "query_id") -> DataFrame:

@@ -22,6 +22,7 @@ def inner_product_topk(index: DataFrame, queries: DataFrame, k: int, item: str =
 
     The index is scanned once for each block of queries: a task multiplies its batches with the block and keeps k
     candidates a query, so that only partitions x queries x k rows are shuffled. Rows without a vector are left out.
+    Scores are sums in the order of the vector, so that equal vectors have equal scores wherever they stand.
     Queries are a stated set of bounded size; they are read to the driver block by block.
     """
     spark = index.sparkSession
@@ -39,23 +40,23 @@ def inner_product_topk(index: DataFrame, queries: DataFrame, k: int, item: str =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, matrix = shared.value
             ids: list = []
-            scores = np.empty((len(names), 0))
+            scores, vectors = np.empty((len(names), 0)), np.empty((0, matrix.shape[1]))
             for batch in batches:
                 items = batch.column(0).to_pylist()
                 if not items:
                     continue
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(items), -1)
-                scores, ids = np.hstack([scores, matrix @ flat.T]), [*ids, *items]
+                scores, vectors, ids = np.hstack([scores, matrix @ flat.T]), np.vstack([vectors, flat]), [*ids, *items]
                 if len(ids) > 8 * k + 4096:
-                    keep = _kept(scores, ids, k)
-                    scores, ids = scores[:, keep], [ids[i] for i in keep]
+                    keep = _kept(scores, matrix, vectors, ids, k)
+                    scores, vectors, ids = scores[:, keep], vectors[keep], [ids[i] for i in keep]
             if ids:
                 q, i, s = [], [], []
                 for n, name in enumerate(names):
-                    for j in _best(scores[n], ids, k):
+                    for j, score in _best(scores[n], matrix[n], vectors, ids, k):
                         q.append(name)
                         i.append(ids[j])
-                        s.append(scores[n, j])
+                        s.append(score)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((q, i, s), kinds, strict=True)], names=schema.names)
 
         return rows.mapInArrow(run, schema)
@@ -71,18 +72,23 @@ def inner_product_topk(index: DataFrame, queries: DataFrame, k: int, item: str =
     return ranked(out, [query], [F.desc("score"), F.asc(item)], k)
 
 
-def _best(scores: np.ndarray, ids: list, k: int) -> list[int]:
-    """Positions of the k largest scores, ties by id."""
+def _best(scores: np.ndarray, query: np.ndarray, vectors: np.ndarray, ids: list, k: int) -> list[tuple[int, float]]:
+    """Positions and scores of the k largest, ties by id.
+
+    ``scores`` are a matrix product's, whose last bits depend on where a vector stands: they choose what may be among
+    the k, and the scores of those are summed anew in the order of the vector.
+    """
+    at = np.arange(len(ids))
     if len(ids) > k:
         least = np.partition(scores, len(ids) - k)[len(ids) - k]
-        at = np.nonzero(scores >= least)[0].tolist()
-    else:
-        at = range(len(ids))
-    return sorted(at, key=lambda j: (-scores[j], ids[j]))[:k]
+        slack = 4 * len(query) * np.finfo(float).eps * np.linalg.norm(query) * np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max())
+        at = np.nonzero(scores >= least - slack)[0]
+    exact = np.cumsum(vectors[at] * query, axis=1)[:, -1].tolist()
+    return sorted(zip(at.tolist(), exact, strict=True), key=lambda x: (-x[1], ids[x[0]]))[:k]
 
 
-def _kept(scores: np.ndarray, ids: list, k: int) -> list[int]:
-    return sorted({j for row in scores for j in _best(row, ids, k)})
+def _kept(scores: np.ndarray, queries: np.ndarray, vectors: np.ndarray, ids: list, k: int) -> list[int]:
+    return sorted({j for row, query in zip(scores, queries, strict=True) for j, _ in _best(row, query, vectors, ids, k)})
 
 
 def inner_products(index: DataFrame, queries: DataFrame, vector: str = "embedding", query_vector: str = "query_vector") -> DataFrame:

@@ -1,7 +1,9 @@
 """Column functions against hand-made values, and BM25 against SQLite's FTS5."""
 
+import math
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +41,19 @@ def test_bm25_equals_fts5(spark):
         assert got == pytest.approx(want)
 
 
+def test_bm25_sum_in_any_order(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    terms = [f"t{i}" for i in range(9)]
+    df = {t: 150 + 37 * i for i, t in enumerate(terms)}  # documents of one term besides the 100 that have all
+    rows = [(d, t, 2.0, 57) for d in range(100) for t in rng.permutation(terms).tolist()] + [(1000 * (i + 1) + d, t, 1.0, 57) for i, t in enumerate(terms) for d in range(df[t])]
+    spark.createDataFrame(rows, "id long, term string, f double, length long").coalesce(1).write.parquet(f"{tmp_path}/postings")
+    index = bm25.SparseIndex("id", spark.read.parquet(f"{tmp_path}/postings"), spark.createDataFrame([(9000, 61.3)], "n_docs long, avg_length double"))
+    scores = {r.id: r.sparse_score for r in bm25.search(index, spark.createDataFrame([(0, t) for t in terms], "query_id int, term string")).collect()}
+    idf = [math.log((9000 - n - 100 + 0.5) / (n + 100 + 0.5)) for n in df.values()]
+    assert len({scores[d] for d in range(100)}) == 1
+    assert scores[0] == pytest.approx(-sum(x * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 57 / 61.3)) for x in idf), rel=1e-14)
+
+
 def test_captions(spark):
     assert values(spark, captions.normalize_tags("x"), ['["a", " b", "a"]', '{"tags": ["c"]}', "a，b; c、a|d\ne", None, "{broken", '{"tags": "x, y"}']) == [["a", "b"], ["c"], ["a", "b", "c", "d", "e"], [], ["{broken"], ["x", "y"]]
     assert values(spark, captions.normalize_tags("x", parse_json=False), ['["a"]']) == [['["a"]']]

@@ -40,6 +40,16 @@ def test_topk_blocks_ties_and_nulls(spark):
     assert [r.item_id for r in topk.in_order(index, "item_id", [5, 2, 5, 9]).collect()] == [5, 2, 9]
 
 
+def test_equal_vectors_have_equal_scores_in_any_place(spark):
+    rng = np.random.default_rng(3)
+    v, q = unit(rng, 1, 64)[0], unit(rng, 1, 64)[0]
+    index = vectors(spark, [v] * 1003).coalesce(1)
+    queries = vectors(spark, [q]).withColumnRenamed("item_id", "query_id")
+    got = topk.inner_product_topk(index, queries, 1003).orderBy("rank").collect()
+    assert [r.item_id for r in got] == list(range(1003))
+    assert {r.score for r in got} == {float(np.cumsum(v * q)[-1])}
+
+
 def test_genericness_and_diversity_equal_pairs(spark):
     v = unit(np.random.default_rng(1), 40)
     df = vectors(spark, v, g=[i % 3 for i in range(39)] + [9])
