@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framequarry.functions import text as X
+from framequarry.functions.batches import lots
 from framequarry.session import materialise, spread
 
 #: Effective field weights.
@@ -37,7 +38,7 @@ def term_fields(docs: DataFrame, key: str, tags: Column, description: Column, ca
     schema = T.StructType([docs.select(key).schema[0], *[T.StructField(n, T.StringType()) for n in names]])
 
     def run(batches):
-        for batch in batches:
+        for batch in lots(batches):
             rows = [[" ".join(x) for x in X.field_terms(*row)] for row in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.string()) for i in range(3))], names=schema.names)
 
@@ -47,14 +48,14 @@ def term_fields(docs: DataFrame, key: str, tags: Column, description: Column, ca
 def build(fields: DataFrame, key: str, weights: dict[str, float] = WEIGHTS) -> SparseIndex:
     """An index over space-joined fields (``term_fields``); they are split again at anything that isn't a letter or a digit.
 
-    A document's postings are made in one pass, without a shuffle. Postings and statistics are written to the shared
+    A document's postings are made in one pass, without a shuffle, and of a few documents at a time. Postings and statistics are written to the shared
     folder once; searches read them and not the texts.
     """
     schema = T.StructType([fields.schema[key], T.StructField("term", T.StringType()), T.StructField("f", T.DoubleType()), T.StructField("length", T.LongType()), T.StructField("once", T.LongType())])
     split = re.compile(r"[^\W_]+").findall
 
     def run(batches):
-        for batch in batches:
+        for batch in lots(batches):
             at, terms, f, lengths, once = [], [], [], [], []
             for i, row in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 1 + len(weights))), strict=True)):
                 counts: dict[str, float] = {}

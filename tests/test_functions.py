@@ -2,13 +2,15 @@
 
 import math
 import sqlite3
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from framequarry.config import HybridConfig, RetrievalConfig, fetch_k, validate_request
-from framequarry.functions import captions, paths, sampling
+from framequarry.functions import batches, captions, paths, sampling
 from framequarry.functions import text as X
 from framequarry.operators import bm25
 
@@ -54,6 +56,40 @@ def test_bm25_sum_in_any_order(spark, tmp_path):
     assert scores[0] == pytest.approx(-sum(x * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 57 / 61.3)) for x in idf), rel=1e-14)
 
 
+def peak(run, batch):
+    """MB that Python and numpy hold at most while ``run`` works off one Arrow batch."""
+    tracemalloc.start()
+    try:
+        for _ in run(iter([batch])):
+            pass
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_index_is_made_of_a_few_documents_at_a_time(spark, monkeypatch):
+    caught = []
+    df = spark.createDataFrame([(0, ["a"], "b", "c")], "id long, tags array<string>, d string, c string")
+    fields = spark.createDataFrame([(0, "a", "b", "c")], "id long, tags_terms string, description_terms string, caption_terms string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: caught.append(f) or spark.createDataFrame([], schema))
+    monkeypatch.setattr(bm25, "materialise", lambda df, name: df)
+    bm25.term_fields(df, "id", F.col("tags"), F.col("d"), F.col("c"))
+    bm25.build(fields, "id")
+    texts = [" ".join(f"w{i * 7 + j}" for j in range(200)) for i in range(3000)]
+    wide = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([["a"]] * 3000), pa.array(texts), pa.array([None] * 3000, pa.string())], names=["id", "tags", "d", "c"])
+    assert peak(caught[0], wide) < 20
+    narrow = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["a"] * 3000), pa.array(texts), pa.array(texts)], names=["id", "t", "d", "c"])
+    assert peak(caught[1], narrow) < 30
+
+
+def test_lots():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1003)), pa.array([None, "x" * (batches.LOT_BYTES + 5), *["é" * 9] * 1001])], names=["i", "t"])
+    got = list(batches.lots([batch, batch.slice(0, 0)]))
+    assert pa.Table.from_batches(got) == pa.Table.from_batches([batch])
+    assert [x.num_rows for x in got] == [1, 1, 256, 256, 256, 233]
+    assert [x.num_rows for x in batches.lots([batch.select(["i"])])] == [256, 256, 256, 235]
+
+
 def test_captions(spark):
     assert values(spark, captions.normalize_tags("x"), ['["a", " b", "a"]', '{"tags": ["c"]}', "a，b; c、a|d\ne", None, "{broken", '{"tags": "x, y"}']) == [["a", "b"], ["c"], ["a", "b", "c", "d", "e"], [], ["{broken"], ["x", "y"]]
     assert values(spark, captions.normalize_tags("x", parse_json=False), ['["a"]']) == [['["a"]']]
