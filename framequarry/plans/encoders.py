@@ -10,10 +10,13 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framequarry.functions.batches import release, text_lots, text_sizes
+
 
 class TextEncoder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
@@ -64,7 +67,7 @@ def gram_codes(texts: list[str], low: int, high: int) -> tuple[np.ndarray, np.nd
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 #: Characters that are turned into n-grams at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 16
 
 
 def _lots(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -184,17 +187,23 @@ def restore_encoder(folder: str) -> TextEncoder:
 
 
 def encode_column(text: Column | str, encoder: TextEncoder) -> Column:
-    """A vector for each text, in Arrow batches; blank texts have none."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def encode(texts: pd.Series) -> pd.Series:
-        filled = texts.fillna("").str.strip() != ""
-        out = pd.Series([None] * len(texts), dtype=object)
-        if filled.any():
-            vectors = encoder.encode(texts[filled].tolist())
-            for i, v in zip(np.flatnonzero(filled.to_numpy()), vectors, strict=True):
-                out.iloc[i] = v
-        return out
+    """A vector for each text, in Arrow batches and of a few texts at a time; blank texts have none."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def encode(texts: pa.Array) -> pa.Array:
+        made = [np.zeros(0)]
+        lengths, blank = np.zeros(len(texts), np.int64), np.ones(len(texts), bool)
+        for first, stop in text_lots(text_sizes(texts)):
+            lot = texts.slice(first, stop - first).to_pylist()
+            filled = [i for i, t in enumerate(lot) if t and not t.isspace()]
+            if filled:
+                vectors = np.asarray(encoder.encode([lot[i] for i in filled]), np.float64)
+                at = first + np.array(filled)
+                lengths[at], blank[at] = vectors.shape[1], False
+                made.append(vectors.ravel())
+        release()
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(made)), mask=pa.array(blank))
 
     return encode(text)
 

@@ -2,6 +2,7 @@
 
 import json
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -257,3 +258,18 @@ def test_event_queries_read_all_events_of_a_user(spark, tmp_path):
     assert {k: sorted(v) for k, v in got.items()} == {1: want, 2: [1000, 1250]}
     frames = {r.user_id: r.frames for r in queries.keyframe_choice(spark, str(tmp_path)).collect()}
     assert frames[1] == "0,3,100,102,198,199,297,299"
+
+
+def test_texts_are_encoded_a_few_at_a_time(spark):
+    texts = [f"clip {i} " * 150 for i in range(3000)]
+    tracemalloc.start()
+    try:
+        got = encoders.HashEncoder().encode(texts)
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(got[[0, 1500, 2999]], np.vstack([encoders.HashEncoder().encode([texts[i]]) for i in (0, 1500, 2999)]))
+    rows = [(0, " \u3000"), (1, None), (2, "x" * 300_000), *[(i, texts[i]) for i in range(3, 700)]]
+    out = spark.createDataFrame(rows, "id int, t string").coalesce(1).withColumn("v", encoders.encode_column(F.col("t"), encoders.HashEncoder())).orderBy("id").collect()
+    assert [r.v for r in out[:2]] == [None, None]
+    assert np.array_equal(np.array([r.v for r in out[2:]]), encoders.HashEncoder().encode([t for _, t in rows[2:]]))
